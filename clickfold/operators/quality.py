@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,35 +22,44 @@ def check_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(columns), "column_name", "null_rows")
 
 
-def limit_violations(limits: Mapping[str, int | T.DecimalType]) -> list[Column]:
-    """For each column over its limit a message, else null.
+def over_limits(limits: Mapping[str, int | T.DecimalType]) -> list[tuple[Column, str]]:
+    """A condition and its message per limit.
 
     An int is the longest text allowed; a decimal type is the range allowed.
     """
-    found = []
+    checks = []
     for name, limit in limits.items():
         if isinstance(limit, T.DecimalType):
-            over = F.col(name).isNotNull() & F.col(name).try_cast(limit).isNull()
-            message = f"{name} out of range"
+            outside = F.col(name).isNotNull() & F.col(name).try_cast(limit).isNull()
+            checks.append((outside, f"{name} out of range"))
         else:
-            over = F.length(name) > limit
-            message = f"{name} longer than {limit}"
-        found.append(F.when(over, F.lit(message)))
-    return found
+            checks.append((F.length(name) > limit, f"{name} longer than {limit}"))
+    return checks
+
+
+def violations(checks: Sequence[tuple[Column, str]]) -> list[Column]:
+    """For each check its message where it fails, else null."""
+    return [F.when(condition, F.lit(message)) for condition, message in checks]
+
+
+def any_of(checks: Sequence[tuple[Column, str]]) -> Column:
+    failing = reduce(lambda a, b: a | b, [condition for condition, _ in checks])
+    return F.coalesce(failing, F.lit(False))
 
 
 def check_limits(df: DataFrame, limits: Mapping[str, int | T.DecimalType]) -> DataFrame:
     """Rows over a limit, with the list of limits they break."""
-    broken = F.array_compact(F.array(*limit_violations(limits)))
-    return df.withColumn("violations", broken).filter(F.size("violations") > 0)
+    checks = over_limits(limits)
+    broken = F.array_compact(F.array(*violations(checks)))
+    return df.filter(any_of(checks)).withColumn("violations", broken)
 
 
 def limit_counts(df: DataFrame, limits: Mapping[str, int | T.DecimalType]) -> DataFrame:
     """Number of rows over each limit, from one scan."""
     counts = df.agg(
         *[
-            F.count(message).alias(name)
-            for name, message in zip(limits, limit_violations(limits), strict=True)
+            F.count_if(condition).alias(name)
+            for name, (condition, _) in zip(limits, over_limits(limits), strict=True)
         ]
     )
     return counts.unpivot([], list(limits), "column_name", "failing_rows")

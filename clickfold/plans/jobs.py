@@ -97,7 +97,9 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--servers", required=True)
     stream.add_argument("--checkpoint", required=True)
     stream.add_argument("--every", default=EVERY)
-    stream.add_argument("--max-offsets", type=int)
+    stream.add_argument("--max-offsets", type=int, help="messages per landing batch at most")
+    stream.add_argument("--max-bytes", default=str(64 * 1024**3), help="per published batch")
+    stream.add_argument("--clean-landing", action="store_true", help="delete published files")
     stream.add_argument("--horizon", help="forget event ids older than this, e.g. '90 days'")
 
     for name in ("daily", "funnel"):
@@ -123,7 +125,16 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
             spark, kafka_options(args.servers, max_offsets_per_trigger=args.max_offsets)
         )
         start_landing(messages, store, f"{args.checkpoint}/land", args.every)
-        start_publishing(store, f"{args.checkpoint}/publish", args.every, args.horizon)
+        options = {"maxBytesPerTrigger": args.max_bytes}
+        if args.clean_landing:
+            options["cleanSource"] = "delete"
+        start_publishing(
+            store,
+            f"{args.checkpoint}/publish",
+            args.every,
+            args.horizon,
+            source_options=options,
+        )
         spark.streams.awaitAnyTermination()
         return None
 

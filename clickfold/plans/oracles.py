@@ -28,12 +28,11 @@ raw AS (
 
 LOG = f"""
 log AS (
-  SELECT raw.*, topic,
-         CASE WHEN topic = '{PURCHASE_TOPIC}' THEN 0 ELSE product_id % 3 END AS part_no
-  FROM raw, (VALUES ('{MAIN_TOPIC}'), ('{CLICK_TOPIC}'), ('{PURCHASE_TOPIC}')) AS t(topic)
-  WHERE topic = '{MAIN_TOPIC}'
-     OR (topic = '{CLICK_TOPIC}' AND event_type = 'CLICK')
-     OR (topic = '{PURCHASE_TOPIC}' AND event_type = 'PURCHASE')
+  SELECT *, '{MAIN_TOPIC}' AS topic, product_id % 3 AS part_no FROM raw
+  UNION ALL
+  SELECT *, '{CLICK_TOPIC}', product_id % 3 FROM raw WHERE event_type = 'CLICK'
+  UNION ALL
+  SELECT *, '{PURCHASE_TOPIC}', 0 FROM raw WHERE event_type = 'PURCHASE'
 )
 """
 

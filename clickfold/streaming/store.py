@@ -37,6 +37,8 @@ from clickfold.operators.ingest import accepted, dedup, parse_events, rejected,
 from clickfold.operators.merging import fold_metrics, merge_replace
 from clickfold.operators.products import product_metrics
 from clickfold.operators.routing import topic_stats
+from clickfold.operators.serving import latest_events
+from clickfold.operators.staging import of_type
 from clickfold.schemas import (
     FUNNEL_METRICS,
     JOB_RUNS,
@@ -146,6 +148,27 @@ class EventStore:
         columns = PRODUCT_METRICS.names
         return fold_metrics(base.select(*columns).unionByName(pending.select(*columns)))
 
+    def measures(self, days: list[dt.date] | None = None) -> DataFrame:
+        """The metrics as a measure table: totals, funnels, rankings and categories read
+        this instead of the events. It outlives pruned events, and counts a product under
+        its newest name of the day."""
+        metrics = self.product_metrics(days)
+        return metrics.withColumnsRenamed(
+            {"metric_date": "event_date", "category": "product_category"}
+        )
+
+    def latest_events(self, limit: int = 50, event_type: str = "ALL") -> DataFrame:
+        """The newest events, reading only as many of the newest days as hold ``limit``."""
+        raw = of_type(self.raw_events(), event_type)
+        days = [day for day, _ in reversed(partition_values(self.spark, self.raw_path))]
+        span = 1
+        while span < len(days):
+            recent = raw.filter(F.col("event_date") >= F.lit(days[span - 1]).cast("date"))
+            if recent.limit(limit).count() >= limit:
+                return latest_events(recent, limit)
+            span *= 2
+        return latest_events(raw, limit)
+
     def _snapshots(self, days: list[dt.date] | None, up_to: int) -> tuple[DataFrame, DataFrame]:
         """Snapshot rows, and each day's newest version.
 

@@ -1,0 +1,294 @@
+import datetime as dt
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickfold.operators.products import product_metrics
+from clickfold.operators.serving import kpi_totals, top_products
+from clickfold.operators.ingest import dedup, parse_events, split_valid
+from clickfold.schemas import CLICK_TOPIC, MAIN_TOPIC, PURCHASE_TOPIC
+from clickfold.sources.kafka import read_event_stream
+from clickfold.streaming.live import (
+    live_throughput,
+    run_available,
+    start_landing,
+    start_publishing,
+)
+from clickfold.streaming.store import EventStore
+from tests.rows import T0, messages_df, wire
+
+TOPIC_OF = {"CLICK": CLICK_TOPIC, "PURCHASE": PURCHASE_TOPIC}
+
+
+class Log:
+    """Message files, delivered in the order they are written."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.offset = spark, str(folder), 0
+        Path(folder).mkdir(parents=True)
+
+    def send(self, values, topic=MAIN_TOPIC):
+        batch = messages_df(self.spark, values, topic, self.offset)
+        self.offset += len(values)
+        batch.coalesce(1).write.mode("append").parquet(self.folder)
+
+    def all(self):
+        return self.spark.read.parquet(self.folder)
+
+    def stream(self, files=1):
+        return read_event_stream(
+            self.spark, {"maxFilesPerTrigger": str(files)}, self.folder
+        )
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    return Log(spark, tmp_path / "log")
+
+
+@pytest.fixture
+def store(spark, root):
+    return EventStore(spark, root)
+
+
+def shop(n=40, start=0):
+    """Events of four products on three days, with some prices missing."""
+    kinds = ("VIEW", "VIEW", "CLICK", "PURCHASE", "OTHER")
+    for i in range(start, start + n):
+        at = T0 + dt.timedelta(hours=(i * 7) % 60, seconds=i)
+        kind = kinds[i % 5]
+        price = None if i % 11 == 0 else round(1.15 * i, 2)
+        yield kind, wire(
+            f"e{i}",
+            kind,
+            at.isoformat(timespec="microseconds") + "Z",
+            product_id=f"p{i % 4}",
+            product_name=f"n{i % 4}",
+            product_price=price,
+        )
+
+
+def send_fanned_out(log, events, parts=4):
+    events = list(events)
+    size = -(-len(events) // parts)
+    for begin in range(0, len(events), size):
+        part = events[begin : begin + size]
+        log.send([v for _, v in part])
+    # Copies come after every original, mixed with one that comes twice.
+    for kind, topic in TOPIC_OF.items():
+        log.send([v for k, v in events if k == kind], topic)
+    log.send([events[0][1]] * 3)
+
+
+def expected(log):
+    good, _ = split_valid(parse_events(log.all()))
+    return product_metrics(dedup(good))
+
+
+def ordered(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_stream_equals_batch(log, store, root):
+    send_fanned_out(log, shop())
+    run_available(log.stream(), store, f"{root}/cp", {"maxFilesPerTrigger": "1"})
+    assert store.last_committed() >= 5
+    assert store.raw_events().count() == 40
+    assert ordered(store.product_metrics()) == ordered(expected(log))
+    # The reports read the metrics as well as the events.
+    for report in (kpi_totals, top_products):
+        assert ordered(report(store.measures())) == ordered(report(store.raw_events()))
+
+
+def test_batch_sizes_do_not_matter(spark, log, root):
+    send_fanned_out(log, shop())
+    results = []
+    for name, files in (("one", 100), ("many", 2)):
+        store = EventStore(spark, f"{root}/{name}")
+        run_available(log.stream(files), store, f"{root}/cp-{name}", {"maxFilesPerTrigger": "3"})
+        results.append(ordered(store.product_metrics()))
+    assert results[0] == results[1]
+
+
+def test_restart_continues(log, store, root):
+    log.send([v for _, v in shop(20)])
+    run_available(log.stream(), store, f"{root}/cp")
+    # The second delivery repeats half of the first.
+    log.send([v for _, v in shop(30, 10)])
+    run_available(log.stream(), store, f"{root}/cp")
+    assert store.raw_events().count() == 40
+    assert ordered(store.product_metrics()) == ordered(expected(log))
+
+
+@pytest.mark.parametrize("lost", ["commit", "commit and metrics"])
+def test_replayed_batch_changes_nothing(log, store, root, lost):
+    send_fanned_out(log, shop())
+    run_available(log.stream(), store, f"{root}/cp", {"maxFilesPerTrigger": "2"})
+    raw, metrics = ordered(store.raw_events()), ordered(store.product_metrics())
+    # As after a crash before the last batches were marked done.
+    for query in ("land", "publish"):
+        commits = Path(f"{root}/cp/{query}/commits")
+        newest = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+        (commits / str(newest)).unlink()
+        (commits / f".{newest}.crc").unlink(missing_ok=True)
+    if lost == "commit and metrics":
+        for part in Path(store.log_path).glob(f"metric_date=*/batch_id={store.last_committed()}"):
+            part.rename(part.with_name(f"_{part.name}"))
+    run_available(log.stream(), store, f"{root}/cp", {"maxFilesPerTrigger": "2"})
+    columns = [c for c in store.raw_events().columns if not c.startswith("kafka")]
+    assert [len(r) for r in raw] == [len(r) for r in ordered(store.raw_events())]
+    assert store.raw_events().select(columns).distinct().count() == 40
+    assert ordered(store.product_metrics()) == metrics
+
+
+def test_rejects_are_set_aside(log, store, root):
+    log.send([wire("a"), "junk", wire(None), wire("b", timestamp="soon"), "junk"])
+    run_available(log.stream(), store, f"{root}/cp")
+    assert [r.event_id for r in store.raw_events().collect()] == ["a"]
+    rejected = sorted(r.raw_value for r in store.rejected_events().collect())
+    assert rejected == sorted(["junk", "junk", wire(None), wire("b", timestamp="soon")])
+
+
+def test_batch_of_rejects_only(log, store, root):
+    log.send(["junk"])
+    run_available(log.stream(), store, f"{root}/cp")
+    assert store.rejected_events().count() == 1
+    assert store.raw_events().isEmpty() and store.product_metrics().isEmpty()
+    assert store.last_committed() is None
+
+
+def test_late_event_joins_its_own_day(log, store, root):
+    log.send([wire("a")])
+    log.send([wire("late", "CLICK", timestamp="2026-01-20T00:00:00Z")])
+    run_available(log.stream(), store, f"{root}/cp", {"maxFilesPerTrigger": "1"})
+    days = {r.metric_date: (r.total_views, r.total_clicks) for r in store.product_metrics().collect()}
+    assert days == {T0.date(): (1, 0), dt.date(2026, 1, 20): (0, 1)}
+
+
+def test_horizon_bounds_state_and_drops_later_events(log, store, root):
+    log.send([wire("a"), wire("b", timestamp="2026-03-20T00:00:00Z")])
+    log.send([wire("a"), wire("c", timestamp="2026-03-19T00:00:00Z")])
+    log.send([wire("old", timestamp="2026-01-01T00:00:00Z"), wire("b")])
+    start_landing(log.stream(), store, f"{root}/land", None).awaitTermination()
+    start_publishing(
+        store, f"{root}/pub", None, "30 days", source_options={"maxFilesPerTrigger": "1"}
+    ).awaitTermination()
+    assert sorted(r.event_id for r in store.raw_events().collect()) == ["a", "b", "c"]
+
+
+def test_replace_between_batches(log, store, root):
+    day = T0.date()
+    log.send([v for _, v in shop(20)])
+    run_available(log.stream(), store, f"{root}/cp")
+    assert store.replace_day(day, run=1)
+    log.send([v for _, v in shop(20, 20)])
+    run_available(log.stream(), store, f"{root}/cp")
+    whole = ordered(expected(log))
+    assert ordered(store.product_metrics()) == whole
+    # Replaced twice at the same batch, compacted, cleaned up: the same result.
+    assert store.replace_day(day, run=2) and store.replace_day(day, run=3)
+    assert ordered(store.product_metrics()) == whole
+    days = [day + dt.timedelta(days=i) for i in range(4)]
+    store.compact(days, run=4)
+    assert ordered(store.product_metrics()) == whole
+    assert store.vacuum() > 0
+    assert ordered(store.product_metrics()) == whole
+    assert ordered(store.product_metrics([day])) == [r for r in whole if r[0] == day]
+
+
+def test_replace_keeps_products_it_does_not_mention(log, store, root):
+    log.send([wire("a"), wire("b", product_id="p2")])
+    run_available(log.stream(), store, f"{root}/cp")
+    # The events of one product are gone from the raw table.
+    kept = store.raw_events().filter("product_id = 'p1'")
+    part = f"{store.raw_path}/event_date={T0.date()}/batch_id=0"
+    kept.drop("event_date", "batch_id").coalesce(1).write.parquet(f"{root}/kept")
+    Path(part).rename(f"{root}/was")
+    Path(f"{root}/kept").rename(part)
+    assert store.replace_day(T0.date())
+    assert {r.product_id: r.total_views for r in store.product_metrics().collect()} == {
+        "p1": 1,
+        "p2": 1,
+    }
+
+
+def test_replace_refuses_pruned_and_skips_empty_days(log, store, root):
+    assert not store.replace_day(T0.date())
+    log.send([wire("a")])
+    run_available(log.stream(), store, f"{root}/cp")
+    assert not store.replace_day(T0.date() + dt.timedelta(days=1))
+    with pytest.raises(ValueError, match="oldest day"):
+        store.replace_day(T0.date(), oldest_kept=T0.date() + dt.timedelta(days=1))
+    with pytest.raises(ValueError, match="oldest day"):
+        store.upsert_funnel_day(T0.date(), T0, oldest_kept=T0.date() + dt.timedelta(days=1))
+
+
+def test_lost_checkpoint(spark, log, store, root):
+    log.send([v for _, v in shop(20)])
+    run_available(log.stream(), store, f"{root}/cp")
+    with pytest.raises(ValueError, match="first_batch"):
+        start_publishing(store, f"{root}/new/publish", None)
+    log.send([v for _, v in shop(30, 10)])
+    fresh = EventStore(spark, root, first_batch=store.last_committed() + 1)
+    start_landing(log.stream(), fresh, f"{root}/new/land", None).awaitTermination()
+    start_publishing(fresh, f"{root}/new/publish", None, recheck_stored=True).awaitTermination()
+    assert fresh.raw_events().count() == 40
+    assert ordered(fresh.product_metrics()) == ordered(expected(log))
+
+
+def test_published_files_can_be_cleaned(log, store, root):
+    options = {"cleanSource": "delete", "spark.sql.streaming.fileSource.cleaner.numThreads": "0"}
+    for begin in range(0, 40, 10):
+        log.send([v for _, v in shop(10, begin)])
+        run_available(log.stream(), store, f"{root}/cp", options)
+    assert store.raw_events().count() == 40
+    assert ordered(store.product_metrics()) == ordered(expected(log))
+
+
+def test_latest_events_reads_newest_days(log, store, root):
+    log.send([v for _, v in shop()])
+    run_available(log.stream(), store, f"{root}/cp")
+    everything = store.raw_events().orderBy(F.desc("created_at"), F.desc("event_id"))
+    ids = [r.event_id for r in everything.collect()]
+    for limit in (1, 5, 39, 60):
+        assert [r.event_id for r in store.latest_events(limit).collect()] == ids[:limit]
+    purchases = [r.event_id for r in everything.filter("event_type = 'PURCHASE'").collect()]
+    assert [r.event_id for r in store.latest_events(7, "PURCHASE").collect()] == purchases[:7]
+
+
+def test_prune_and_funnel(log, store, root):
+    log.send([v for _, v in shop()])
+    run_available(log.stream(), store, f"{root}/cp")
+    day = T0.date()
+    total = store.raw_events().count()
+    old = store.raw_events().filter(F.col("event_date") < F.lit(day + dt.timedelta(days=1))).count()
+    before = ordered(store.product_metrics())
+    assert store.prune(day + dt.timedelta(days=1)) == old > 0
+    assert store.raw_events().count() == total - old
+    assert ordered(store.product_metrics()) == before
+    store.upsert_funnel_day(day + dt.timedelta(days=1), T0)
+    store.upsert_funnel_day(day + dt.timedelta(days=2), T0)
+    store.upsert_funnel_day(day + dt.timedelta(days=1), T0 + dt.timedelta(days=9))
+    funnel = {r.metric_date: r for r in store.funnel_metrics().collect()}
+    assert set(funnel) == {day + dt.timedelta(days=1), day + dt.timedelta(days=2)}
+    assert funnel[day + dt.timedelta(days=1)].updated_at == T0 + dt.timedelta(days=9)
+
+
+def test_live_throughput(spark, log, root):
+    log.send([v for _, v in shop(10)])
+    send_fanned_out(log, shop(20, 10))
+    query = (
+        live_throughput(log.stream(100))
+        .writeStream.format("memory")
+        .queryName("live_throughput")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    seen = spark.table("live_throughput").agg(
+        F.sum("total_events").alias("n"), F.sum("purchases").alias("p")
+    ).first()
+    # One event was sent four times on the main topic.
+    assert (seen.n, seen.p) == (33, 6)
