@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickfold.functions.clock import ntz
 from clickfold.schemas import JOB_RUNS
 
 SUCCESS = "success"
@@ -24,17 +25,22 @@ def run_record(
     error_message: str | None = None,
     batch_id: int | None = None,
 ) -> DataFrame:
-    row = (
-        run_id,
-        dag_id,
-        status,
-        started_at,
-        finished_at,
-        records_processed,
-        error_message,
-        batch_id,
-    )
-    return spark.createDataFrame([row], JOB_RUNS)
+    values = {
+        "run_id": run_id,
+        "dag_id": dag_id,
+        "status": status,
+        "started_at": started_at,
+        "finished_at": finished_at,
+        "records_processed": records_processed,
+        "error_message": error_message,
+        "batch_id": batch_id,
+    }
+    columns = []
+    for field in JOB_RUNS:
+        value = values[field.name]
+        literal = ntz(value) if isinstance(value, dt.datetime) else F.lit(value)
+        columns.append(literal.cast(field.dataType).alias(field.name))
+    return spark.range(1).select(*columns)
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

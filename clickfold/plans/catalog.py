@@ -39,7 +39,7 @@ from clickfold.sources.star_events import (
     with_products,
 )
 from clickfold.sources.tables import table_bytes
-from clickfold.streaming.live import start_landing, start_publishing
+from clickfold.streaming.live import start_landing, start_publishing, state_partitions_for
 from clickfold.streaming.store import EventStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,7 +372,11 @@ def _streamed(
     messages = read_event_stream(spark, _quarters(spark, log), log)
     start_landing(messages, store, f"{root}/land", None).awaitTermination()
     start_publishing(
-        store, f"{root}/publish", None, source_options=_quarters(spark, store.landing_path)
+        store,
+        f"{root}/publish",
+        None,
+        source_options=_quarters(spark, store.landing_path),
+        state_partitions=state_partitions_for(table_bytes(spark, store.landing_path)),
     ).awaitTermination()
     return store
 

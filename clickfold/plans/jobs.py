@@ -99,6 +99,7 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--every", default=EVERY)
     stream.add_argument("--max-offsets", type=int, help="messages per landing batch at most")
     stream.add_argument("--max-bytes", default=str(64 * 1024**3), help="per published batch")
+    stream.add_argument("--state-partitions", type=int, help="fixed at the first start")
     stream.add_argument("--clean-landing", action="store_true", help="delete published files")
     stream.add_argument("--horizon", help="forget event ids older than this, e.g. '90 days'")
 
@@ -134,6 +135,7 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
             args.every,
             args.horizon,
             source_options=options,
+            state_partitions=args.state_partitions,
         )
         spark.streams.awaitAnyTermination()
         return None

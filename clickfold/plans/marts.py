@@ -41,7 +41,7 @@ def build_marts(
                 rebalanced = mart.hint("rebalance", "event_date")
                 rebalanced.write.mode("overwrite").partitionBy("event_date").parquet(paths[name])
             else:
-                write_partitions(mart, paths[name], "event_date")
+                write_partitions(mart, paths[name], "event_date", rebalance=True)
     finally:
         daily.unpersist()
     return paths

@@ -19,9 +19,16 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Merge shuffle partitions up to this size, also where that leaves cores idle:
+    # what is written after a shuffle should be few large files.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
+# A streaming query switches adaptive execution off for its session. Inside a batch the
+# data is an ordinary table, and sizing its files and splitting hot partitions needs it.
+BATCH_CONF = {key: value for key, value in SESSION_CONF.items() if ".adaptive." in key}
+
 # Needed by the stateful de-duplication only: key state lives on executor disks
 # and reaches the checkpoint as a change log rather than as full snapshots.
 STATE_STORE_CONF = {

@@ -64,15 +64,18 @@ def ensure_table(
     )
 
 
-def write_partitions(df: DataFrame, path: str, *partitions: str) -> None:
+def write_partitions(
+    df: DataFrame, path: str, *partitions: str, rebalance: bool = False
+) -> None:
     """Overwrite just the partitions present in ``df``, so repeating a write is harmless.
 
-    Rows are rebalanced by partition first: small files merge, and a partition that
-    holds most of the rows is split over several tasks.
+    ``rebalance`` shuffles by partition first, for rows not yet sized by a shuffle: small
+    files merge, and a partition that holds most of the rows is split over several tasks.
     """
+    if rebalance:
+        df = df.hint("rebalance", *partitions)
     (
-        df.hint("rebalance", *partitions)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
         .parquet(path)

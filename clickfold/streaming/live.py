@@ -18,6 +18,7 @@ from clickfold.sources.tables import table_exists
 from clickfold.streaming.store import EventStore
 
 EVERY = "10 seconds"
+BYTES_PER_STATE_PARTITION = 8 * 1024**3
 
 
 def _start(stream: DataFrame, on_batch, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -54,6 +55,12 @@ def unique_events(events: DataFrame, horizon: str | None = None) -> DataFrame:
     return unique.drop("_at")
 
 
+def state_partitions_for(total_bytes: int) -> int:
+    """State partitions for that much event data over the life of the stream: a
+    partition's ids stay a few gigabytes, and even a small stream uses several cores."""
+    return max(8, min(20_000, total_bytes // BYTES_PER_STATE_PARTITION))
+
+
 def start_publishing(
     store: EventStore,
     checkpoint: str,
@@ -61,11 +68,13 @@ def start_publishing(
     horizon: str | None = None,
     recheck_stored: bool = False,
     source_options: dict[str, str] | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Publish landed events to ``raw_events`` and the metric log.
 
-    The number of state partitions is the session's ``spark.sql.shuffle.partitions`` at
-    the first start and stays with the checkpoint. ``source_options`` go to the file
+    ``state_partitions`` (by default the session's shuffle partitions) is fixed at the
+    first start and stays with the checkpoint; size it for all ids to be remembered, see
+    :func:`state_partitions_for`. ``source_options`` go to the file
     source: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a batch,
     ``cleanSource`` removes landed files that were published.
 
@@ -95,7 +104,10 @@ def start_publishing(
             events = dedup(events, store.raw_events(store.first_batch - 1))
         store.publish_batch(events, batch_id)
 
-    with session_conf(spark, STATE_STORE_CONF):
+    conf = dict(STATE_STORE_CONF)
+    if state_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(state_partitions)
+    with session_conf(spark, conf):
         return _start(unique_events(landed, horizon), publish, checkpoint, every)
 
 
@@ -104,11 +116,16 @@ def run_available(
     store: EventStore,
     checkpoint: str,
     source_options: dict[str, str] | None = None,
+    state_partitions: int | None = None,
 ) -> None:
     """Land and publish everything available, then return."""
     start_landing(messages, store, f"{checkpoint}/land", None).awaitTermination()
     start_publishing(
-        store, f"{checkpoint}/publish", None, source_options=source_options
+        store,
+        f"{checkpoint}/publish",
+        None,
+        source_options=source_options,
+        state_partitions=state_partitions,
     ).awaitTermination()
 
 

@@ -47,6 +47,7 @@ from clickfold.schemas import (
     REJECTED_EVENTS,
     TOPIC_STATS,
 )
+from clickfold.session import BATCH_CONF, session_conf
 from clickfold.sources.tables import (
     drop_partitions,
     partition_values,
@@ -67,11 +68,12 @@ _VERSION = (T.StructField("as_of", T.LongType()), T.StructField("run", T.LongTyp
 @contextmanager
 def _kept(df: DataFrame) -> Iterator[DataFrame]:
     """Hold a batch for its several outputs; it spills to disk and can be recomputed."""
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield held
-    finally:
-        held.unpersist()
+    with session_conf(df.sparkSession, BATCH_CONF):
+        held = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield held
+        finally:
+            held.unpersist()
 
 
 def _on_days(column: str, days: list[dt.date] | None) -> Column:
@@ -202,7 +204,7 @@ class EventStore:
                 write_partitions(good, self.landing_path, "batch_id")
             if counts.bad:
                 bad = rejected(tagged).withColumn("batch_id", F.lit(number))
-                write_partitions(bad, self.rejected_path, "batch_id")
+                write_partitions(bad, self.rejected_path, "batch_id", rebalance=True)
 
     def publish_batch(self, events: DataFrame, batch_id: int) -> None:
         """Write a batch of new events, then what they add to the metrics."""
@@ -216,7 +218,7 @@ class EventStore:
         with _kept(dated):
             records = dated.count()
             if records:
-                write_partitions(dated, self.raw_path, "event_date", "batch_id")
+                write_partitions(dated, self.raw_path, "event_date", "batch_id", rebalance=True)
                 added = product_metrics(dated).withColumn("batch_id", F.lit(number))
                 write_partitions(added, self.log_path, "metric_date", "batch_id")
         self.record_run(
