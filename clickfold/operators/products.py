@@ -65,9 +65,16 @@ def product_metrics(
     return metrics.withColumn("updated_at", stamp).select(*columns)
 
 
+DAILY_KEYS = ("event_date", "product_id", "product_name", "product_category")
+
+
 def product_metrics_daily(staged: DataFrame) -> DataFrame:
     """The daily product mart, keyed by date, product, name and category."""
-    measured = measures_of(staged, "event_date", "product_id", "product_name", "product_category")
+    return as_daily_mart(measures_of(staged, *DAILY_KEYS))
+
+
+def as_daily_mart(measured: DataFrame) -> DataFrame:
+    """The mart's columns from measures at its keys."""
     return with_rates(measured).select(
         "event_date",
         "product_id",

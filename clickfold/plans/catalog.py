@@ -345,13 +345,13 @@ def run_summary_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 class _ReplayingStore(EventStore):
     """Runs every batch twice, as after a crash just before the batch was committed."""
 
-    def land_batch(self, messages: DataFrame, batch_id: int) -> None:
-        super().land_batch(messages, batch_id)
-        super().land_batch(messages, batch_id)
+    def land_batch(self, messages: DataFrame, number: int) -> None:
+        super().land_batch(messages, number)
+        super().land_batch(messages, number)
 
-    def publish_batch(self, events: DataFrame, batch_id: int) -> None:
-        super().publish_batch(events, batch_id)
-        super().publish_batch(events, batch_id)
+    def publish_batch(self, events: DataFrame, number: int) -> None:
+        super().publish_batch(events, number)
+        super().publish_batch(events, number)
 
 
 def _quarters(spark: SparkSession, path: str) -> dict[str, str]:

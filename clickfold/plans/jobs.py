@@ -99,6 +99,11 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--every", default=EVERY)
     stream.add_argument("--max-offsets", type=int, help="messages per landing batch at most")
     stream.add_argument("--max-bytes", default=str(64 * 1024**3), help="per published batch")
+    stream.add_argument("--first-landing", type=int, default=0, help="after a lost checkpoint")
+    stream.add_argument("--first-batch", type=int, default=0, help="after a lost checkpoint")
+    stream.add_argument(
+        "--recheck-stored", action="store_true", help="compare with ids stored before --first-batch"
+    )
     stream.add_argument("--state-partitions", type=int, help="fixed at the first start")
     stream.add_argument("--clean-landing", action="store_true", help="delete published files")
     stream.add_argument("--horizon", help="forget event ids older than this, e.g. '90 days'")
@@ -125,17 +130,20 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
         messages = read_event_stream(
             spark, kafka_options(args.servers, max_offsets_per_trigger=args.max_offsets)
         )
-        start_landing(messages, store, f"{args.checkpoint}/land", args.every)
+        land_at, publish_at = f"{args.checkpoint}/land", f"{args.checkpoint}/publish"
+        start_landing(messages, store, land_at, args.every, args.first_landing)
         options = {"maxBytesPerTrigger": args.max_bytes}
         if args.clean_landing:
             options["cleanSource"] = "delete"
         start_publishing(
             store,
-            f"{args.checkpoint}/publish",
+            publish_at,
             args.every,
             args.horizon,
+            recheck_stored=args.recheck_stored,
             source_options=options,
             state_partitions=args.state_partitions,
+            first_batch=args.first_batch,
         )
         spark.streams.awaitAnyTermination()
         return None

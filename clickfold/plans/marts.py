@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickfold.operators.funnels import funnel_analysis
 from clickfold.operators.measures import measure
-from clickfold.operators.products import product_metrics_daily
+from clickfold.operators.products import DAILY_KEYS, as_daily_mart
 from clickfold.operators.staging import stage
 from clickfold.sources.tables import write_partitions
 
@@ -31,10 +31,9 @@ def build_marts(
     staged.createOrReplaceTempView(STAGING_VIEW)
     if days is not None:
         staged = staged.filter(F.col("event_date").isin(*days))
-    daily = measure(staged, "event_date", "product_id", "product_name", "product_category")
-    daily = daily.persist(StorageLevel.MEMORY_AND_DISK)
+    daily = measure(staged, *DAILY_KEYS).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        marts = {PRODUCT_MART: product_metrics_daily(daily), FUNNEL_MART: funnel_analysis(daily)}
+        marts = {PRODUCT_MART: as_daily_mart(daily), FUNNEL_MART: funnel_analysis(daily)}
         paths = {name: f"{out.rstrip('/')}/{name}" for name in marts}
         for name, mart in marts.items():
             if days is None:

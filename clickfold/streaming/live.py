@@ -30,14 +30,34 @@ def _start(stream: DataFrame, on_batch, checkpoint: str, every: str | None) -> S
     return writer.start()
 
 
+def _refuse_reuse(store: EventStore, checkpoint: str, last: int | None, first_batch: int) -> None:
+    """Batch numbers start over without a checkpoint; they must not hit stored batches."""
+    if last is not None and last >= first_batch and not table_exists(store.spark, checkpoint):
+        raise ValueError(
+            f"batch {last} is already stored but there is no checkpoint at {checkpoint}; "
+            "set first_batch above it"
+        )
+
+
 def start_landing(
-    messages: DataFrame, store: EventStore, checkpoint: str, every: str | None = EVERY
+    messages: DataFrame,
+    store: EventStore,
+    checkpoint: str,
+    every: str | None = EVERY,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Decode messages into the landing and rejected tables.
 
-    ``every=None`` takes what is there and stops.
+    ``every=None`` takes what is there and stops. ``first_batch`` numbers the batches of
+    a checkpoint and stays with it: 0, or after a lost checkpoint a number above
+    ``store.last_landed()``.
     """
-    return _start(messages, store.land_batch, checkpoint, every)
+    _refuse_reuse(store, checkpoint, store.last_landed(), first_batch)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        store.land_batch(batch, first_batch + batch_id)
+
+    return _start(messages, land, checkpoint, every)
 
 
 def unique_events(events: DataFrame, horizon: str | None = None) -> DataFrame:
@@ -69,6 +89,7 @@ def start_publishing(
     recheck_stored: bool = False,
     source_options: dict[str, str] | None = None,
     state_partitions: int | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Publish landed events to ``raw_events`` and the metric log.
 
@@ -78,17 +99,13 @@ def start_publishing(
     source: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a batch,
     ``cleanSource`` removes landed files that were published.
 
-    After a lost checkpoint the state is empty: start with a store whose
-    ``first_batch`` is above the stored numbers and ``recheck_stored=True``, which
-    compares each batch with the ids stored before.
+    After a lost checkpoint the state is empty: start with ``first_batch`` above
+    ``store.last_committed()`` and ``recheck_stored=True``, which compares each batch
+    with all ids stored before. That is a scan of the id column per batch, so use large
+    batches, and restart without it once copies of old events can no longer arrive.
     """
     spark = store.spark
-    last = store.last_committed()
-    if last is not None and last >= store.first_batch and not table_exists(spark, checkpoint):
-        raise ValueError(
-            f"batch {last} is already stored but there is no checkpoint at {checkpoint}; "
-            "set the store's first_batch above it"
-        )
+    _refuse_reuse(store, checkpoint, store.last_committed(), first_batch)
     # The file source insists on an existing folder.
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(store.landing_path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
@@ -101,8 +118,8 @@ def start_publishing(
 
     def publish(events: DataFrame, batch_id: int) -> None:
         if recheck_stored:
-            events = dedup(events, store.raw_events(store.first_batch - 1))
-        store.publish_batch(events, batch_id)
+            events = dedup(events, store.raw_events(first_batch - 1))
+        store.publish_batch(events, first_batch + batch_id)
 
     conf = dict(STATE_STORE_CONF)
     if state_partitions is not None:

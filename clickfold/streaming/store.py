@@ -81,16 +81,11 @@ def _on_days(column: str, days: list[dt.date] | None) -> Column:
 
 
 class EventStore:
-    """Reads and writes the tables under ``root``.
+    """Reads and writes the tables under ``root``."""
 
-    ``first_batch`` is added to the batch numbers of the streams. It stays 0 unless a
-    checkpoint is lost: the new stream then starts above the numbers already stored.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, first_batch: int = 0):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.first_batch = first_batch
         self.landing_path = f"{self.root}/landing"
         self.rejected_path = f"{self.root}/rejected"
         self.raw_path = f"{self.root}/raw_events"
@@ -131,6 +126,12 @@ class EventStore:
                 return newest
         return None
 
+    def last_landed(self) -> int | None:
+        """Number of the newest batch that left events or rejects."""
+        paths = (self.landing_path, self.rejected_path)
+        numbers = [int(v) for path in paths for v, _ in partition_values(self.spark, path)]
+        return max(numbers, default=None)
+
     def product_metrics(
         self, days: list[dt.date] | None = None, up_to: int | None = None
     ) -> DataFrame:
@@ -187,13 +188,12 @@ class EventStore:
 
     # --- stream batches ----------------------------------------------------------
 
-    def land_batch(self, messages: DataFrame, batch_id: int) -> None:
+    def land_batch(self, messages: DataFrame, number: int) -> None:
         """Decode a batch, set rejects aside and keep one copy per id.
 
         Copies within the batch go here, at most one per id and task reaching the
         shuffle; what the stateful step sees later holds no large group of copies.
         """
-        number = self.first_batch + batch_id
         tagged = tag_rejects(parse_events(messages)).withColumn("batch_id", F.lit(number))
         with _kept(tagged):
             counts = tagged.agg(
@@ -206,9 +206,8 @@ class EventStore:
                 bad = rejected(tagged).withColumn("batch_id", F.lit(number))
                 write_partitions(bad, self.rejected_path, "batch_id", rebalance=True)
 
-    def publish_batch(self, events: DataFrame, batch_id: int) -> None:
+    def publish_batch(self, events: DataFrame, number: int) -> None:
         """Write a batch of new events, then what they add to the metrics."""
-        number = self.first_batch + batch_id
         started = utc_now()
         dated = events.select(
             *RAW_EVENTS.names,

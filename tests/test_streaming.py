@@ -224,17 +224,26 @@ def test_replace_refuses_pruned_and_skips_empty_days(log, store, root):
         store.upsert_funnel_day(T0.date(), T0, oldest_kept=T0.date() + dt.timedelta(days=1))
 
 
-def test_lost_checkpoint(spark, log, store, root):
+def test_lost_checkpoint(log, store, root):
     log.send([v for _, v in shop(20)])
     run_available(log.stream(), store, f"{root}/cp")
+    with pytest.raises(ValueError, match="first_batch"):
+        start_landing(log.stream(), store, f"{root}/new/land", None)
     with pytest.raises(ValueError, match="first_batch"):
         start_publishing(store, f"{root}/new/publish", None)
     log.send([v for _, v in shop(30, 10)])
-    fresh = EventStore(spark, root, first_batch=store.last_committed() + 1)
-    start_landing(log.stream(), fresh, f"{root}/new/land", None).awaitTermination()
-    start_publishing(fresh, f"{root}/new/publish", None, recheck_stored=True).awaitTermination()
-    assert fresh.raw_events().count() == 40
-    assert ordered(fresh.product_metrics()) == ordered(expected(log))
+    start_landing(
+        log.stream(), store, f"{root}/new/land", None, first_batch=store.last_landed() + 1
+    ).awaitTermination()
+    start_publishing(
+        store,
+        f"{root}/new/publish",
+        None,
+        recheck_stored=True,
+        first_batch=store.last_committed() + 1,
+    ).awaitTermination()
+    assert store.raw_events().count() == 40
+    assert ordered(store.product_metrics()) == ordered(expected(log))
 
 
 def test_published_files_can_be_cleaned(log, store, root):
