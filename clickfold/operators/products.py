@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clickfold.functions.clock import ntz
 from clickfold.functions.rates import fraction, percent
 from clickfold.operators.measures import measure, measures_of, rollup
+from clickfold.operators.staging import event_day
 from clickfold.schemas import COUNTERS, METRIC_KEYS, PRODUCT_METRICS
 
 
@@ -50,7 +51,7 @@ def product_metrics(
 ) -> DataFrame:
     """One row per (date, product), or per product over all given rows."""
     keys = METRIC_KEYS if by_date else METRIC_KEYS[1:]
-    dated = [F.to_date("created_at").alias("metric_date")] if by_date else []
+    dated = [event_day(raw).alias("metric_date")] if by_date else []
     fine = measure(
         raw,
         *dated,

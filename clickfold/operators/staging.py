@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,18 @@ def _flag(event_type: str) -> Column:
     return F.when(F.col("event_type") == event_type, 1).otherwise(0)
 
 
+def event_day(df: DataFrame) -> Column:
+    """The event's date: the stored partition column where there is one, so that filters
+    on it prune partitions."""
+    return F.col("event_date") if "event_date" in df.columns else F.to_date("created_at")
+
+
 def stage(raw: DataFrame) -> DataFrame:
     """Identified events with calendar columns and 0/1 type flags."""
     return raw.filter(F.col("event_id").isNotNull()).select(
         *STAGED_COLUMNS,
         F.col("created_at").alias("event_timestamp"),
-        F.to_date("created_at").alias("event_date"),
+        event_day(raw).alias("event_date"),
         F.hour("created_at").alias("event_hour"),
         _flag(VIEW).alias("is_view"),
         _flag(CLICK).alias("is_click"),
@@ -40,17 +47,20 @@ def stage(raw: DataFrame) -> DataFrame:
     )
 
 
+def on_days(df: DataFrame, days: Sequence[dt.date]) -> DataFrame:
+    """Some calendar days. A stored table is pruned to their partitions; on plain files
+    the span of the days reaches the Parquet scan."""
+    if "event_date" in df.columns:
+        return df.filter(F.col("event_date").isin(*days))
+    start = dt.datetime.combine(min(days), dt.time())
+    end = dt.datetime.combine(max(days), dt.time()) + dt.timedelta(days=1)
+    at = F.col("created_at")
+    spanned = df.filter((at >= ntz(start)) & (at < ntz(end)))
+    return spanned if len(set(days)) == 1 else spanned.filter(F.to_date(at).isin(*days))
+
+
 def on_day(df: DataFrame, day: dt.date) -> DataFrame:
-    """One calendar day. A stored table is pruned to the day's partition; on plain
-    files the time range reaches the Parquet scan."""
-    start = dt.datetime.combine(day, dt.time())
-    if "created_at" in df.columns:
-        at = F.col("created_at")
-        in_day = (at >= ntz(start)) & (at < ntz(start + dt.timedelta(days=1)))
-        if "event_date" in df.columns:
-            in_day = (F.col("event_date") == F.lit(day)) & in_day
-        return df.filter(in_day)
-    return df.filter(F.col("event_date") == F.lit(day))
+    return on_days(df, [day])
 
 
 def of_type(df: DataFrame, event_type: str = "ALL") -> DataFrame:

@@ -20,9 +20,11 @@ from clickfold.plans.marts import build_marts
 from clickfold.session import build_session
 from clickfold.sources.kafka import kafka_options, read_event_stream
 from clickfold.sources.tables import require_table
-from clickfold.streaming.live import EVERY, start_landing, start_publishing
+from clickfold.streaming.live import EVERY, clean_landing, start_landing, start_publishing
 from clickfold.streaming.store import EventStore
 
+CLEAN_EVERY_SECONDS = 600
+
 log = logging.getLogger("clickfold")
 
 
@@ -52,9 +54,10 @@ def run_daily(store: EventStore, day: dt.date, now: dt.datetime) -> int:
     return summary.records_processed
 
 
-def run_checks(store: EventStore) -> int:
-    """Ids must be present and unique; returns the number of failures."""
-    raw = store.raw_events()
+def run_checks(store: EventStore, day: dt.date | None = None) -> int:
+    """Ids must be present and unique, over all days or within one; returns the number of
+    failures."""
+    raw = store.raw_events(days=None if day is None else [day])
     nulls = check_not_null(raw, ["event_id"]).agg(F.sum("null_rows")).first()[0]
     copies = check_unique(raw, ["event_id"]).count()
     log.info("event_id: %d null, %d repeated", nulls, copies)
@@ -105,7 +108,6 @@ def _parser() -> argparse.ArgumentParser:
         "--recheck-stored", action="store_true", help="compare with ids stored before --first-batch"
     )
     stream.add_argument("--state-partitions", type=int, help="fixed at the first start")
-    stream.add_argument("--clean-landing", action="store_true", help="delete published files")
     stream.add_argument("--horizon", help="forget event ids older than this, e.g. '90 days'")
 
     for name in ("daily", "funnel"):
@@ -118,7 +120,8 @@ def _parser() -> argparse.ArgumentParser:
 
     prune = jobs.add_parser("prune")
     prune.add_argument("--days", type=int, default=RETENTION_DAYS)
-    jobs.add_parser("check")
+    check = jobs.add_parser("check")
+    check.add_argument("--date", help="YYYY-MM-DD, all days by default")
     jobs.add_parser("topics")
     jobs.add_parser("vacuum")
     return parser
@@ -132,20 +135,18 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
         )
         land_at, publish_at = f"{args.checkpoint}/land", f"{args.checkpoint}/publish"
         start_landing(messages, store, land_at, args.every, args.first_landing)
-        options = {"maxBytesPerTrigger": args.max_bytes}
-        if args.clean_landing:
-            options["cleanSource"] = "delete"
-        start_publishing(
+        publishing = start_publishing(
             store,
             publish_at,
             args.every,
             args.horizon,
             recheck_stored=args.recheck_stored,
-            source_options=options,
+            source_options={"maxBytesPerTrigger": args.max_bytes},
             state_partitions=args.state_partitions,
             first_batch=args.first_batch,
         )
-        spark.streams.awaitAnyTermination()
+        while not spark.streams.awaitAnyTermination(CLEAN_EVERY_SECONDS):
+            clean_landing(store, publishing)
         return None
 
     def work() -> int | None:
@@ -159,7 +160,7 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
         elif args.job == "prune":
             return store.prune(default_cutoff(now, args.days).date())
         elif args.job == "check":
-            return run_checks(store)
+            return run_checks(store, args.day)
         elif args.job == "topics":
             store.record_topic_stats(now)
         elif args.job == "vacuum":
@@ -178,6 +179,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     try:
         if args.job in ("daily", "funnel"):
             args.day = parse_day(args.date, now)
+        elif args.job == "check":
+            args.day = parse_day(args.date) if args.date else None
         elif args.job == "marts":
             args.day = [parse_day(d) for d in args.date] if args.date else None
     except ValueError as error:

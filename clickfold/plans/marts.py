@@ -6,12 +6,11 @@ import datetime as dt
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clickfold.operators.funnels import funnel_analysis
 from clickfold.operators.measures import measure
 from clickfold.operators.products import DAILY_KEYS, as_daily_mart
-from clickfold.operators.staging import stage
+from clickfold.operators.staging import on_days, stage
 from clickfold.sources.tables import write_partitions
 
 STAGING_VIEW = "stg_events"
@@ -29,9 +28,8 @@ def build_marts(
     """
     staged = stage(raw)
     staged.createOrReplaceTempView(STAGING_VIEW)
-    if days is not None:
-        staged = staged.filter(F.col("event_date").isin(*days))
-    daily = measure(staged, *DAILY_KEYS).persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = staged if days is None else stage(on_days(raw, days))
+    daily = measure(wanted, *DAILY_KEYS).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         marts = {PRODUCT_MART: as_daily_mart(daily), FUNNEL_MART: funnel_analysis(daily)}
         paths = {name: f"{out.rstrip('/')}/{name}" for name in marts}

@@ -8,7 +8,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from clickfold.operators.staging import on_day
+from clickfold.schemas import RAW_EVENTS
+
+EVENT_DATE = T.StructField("event_date", T.DateType())
+
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -33,19 +36,31 @@ def require_table(spark: SparkSession, path: str) -> None:
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, partitions: Sequence[T.StructField] = ()
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    partitions: Sequence[T.StructField] = (),
+    only: Sequence[object] | None = None,
 ) -> DataFrame:
-    """Read with a fixed schema; a table nobody wrote yet is empty."""
+    """Read with a fixed schema; a table nobody wrote yet is empty.
+
+    ``only`` names values of the first partition column: just their folders are listed,
+    where a filter would list the whole table before pruning it.
+    """
     full = T.StructType([*schema.fields, *[p for p in partitions if p.name not in schema.names]])
-    if not table_exists(spark, path):
+    paths = [path]
+    if only is not None:
+        paths = [f"{path}/{partitions[0].name}={value}" for value in sorted(set(only))]
+    paths = [p for p in paths if table_exists(spark, p)]
+    if not paths:
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+    return spark.read.schema(full).option("basePath", path).parquet(*paths)
 
 
 def read_raw(spark: SparkSession, path: str, day: dt.date | None = None) -> DataFrame:
-    """Raw events, or one day of them; the day prunes ``event_date`` partitions."""
-    raw = spark.read.parquet(path)
-    return raw if day is None else on_day(raw, day)
+    """Raw events, or one day of them."""
+    only = None if day is None else [day]
+    return read_table(spark, path, RAW_EVENTS, [EVENT_DATE], only)
 
 
 def ensure_table(

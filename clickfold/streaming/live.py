@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clickfold.operators.ingest import accepted, dedup, parse_events, tag_rejects
@@ -18,6 +19,8 @@ from clickfold.sources.tables import table_exists
 from clickfold.streaming.store import EventStore
 
 EVERY = "10 seconds"
+LANDED = "landed"
+LANDING = T.StructType([*RAW_EVENTS.fields, T.StructField("batch_id", T.LongType())])
 BYTES_PER_STATE_PARTITION = 8 * 1024**3
 
 
@@ -95,9 +98,8 @@ def start_publishing(
 
     ``state_partitions`` (by default the session's shuffle partitions) is fixed at the
     first start and stays with the checkpoint; size it for all ids to be remembered, see
-    :func:`state_partitions_for`. ``source_options`` go to the file
-    source: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a batch,
-    ``cleanSource`` removes landed files that were published.
+    :func:`state_partitions_for`. ``source_options`` go to the file source:
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a batch.
 
     After a lost checkpoint the state is empty: start with ``first_batch`` above
     ``store.last_committed()`` and ``recheck_stored=True``, which compares each batch
@@ -111,9 +113,11 @@ def start_publishing(
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
 
     landed = (
-        spark.readStream.schema(RAW_EVENTS)
+        spark.readStream.schema(LANDING)
         .options(**(source_options or {}))
         .parquet(store.landing_path)
+        .observe(LANDED, F.max("batch_id").alias("newest"))
+        .drop("batch_id")
     )
 
     def publish(events: DataFrame, batch_id: int) -> None:
@@ -128,6 +132,20 @@ def start_publishing(
         return _start(unique_events(landed, horizon), publish, checkpoint, every)
 
 
+def clean_landing(store: EventStore, publishing: StreamingQuery) -> int:
+    """Delete landed batches that were published, so that the source has few folders to
+    list; returns how many.
+
+    Batches are published in the order they land, so once a committed batch held files
+    of landing batch ``n`` all earlier ones are done.
+    """
+    for progress in reversed(publishing.recentProgress):
+        newest = progress.observedMetrics.get(LANDED)
+        if newest is not None and newest.newest is not None:
+            return store.clean_landing(newest.newest)
+    return 0
+
+
 def run_available(
     messages: DataFrame,
     store: EventStore,

@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import datetime as dt
 import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,7 @@ from clickfold.schemas import (
 )
 from clickfold.session import BATCH_CONF, session_conf
 from clickfold.sources.tables import (
+    EVENT_DATE,
     drop_partitions,
     partition_values,
     read_table,
@@ -59,7 +60,6 @@ LAND = "land"
 PUBLISH = "publish"
 
 _BATCH = T.StructField("batch_id", T.LongType())
-_EVENT_DATE = T.StructField("event_date", T.DateType())
 _METRIC_DATE = T.StructField("metric_date", T.DateType())
 _RUN_DATE = T.StructField("run_date", T.DateType())
 _VERSION = (T.StructField("as_of", T.LongType()), T.StructField("run", T.LongType()))
@@ -76,10 +76,6 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
             held.unpersist()
 
 
-def _on_days(column: str, days: list[dt.date] | None) -> Column:
-    return F.lit(True) if days is None else F.col(column).isin(*days)
-
-
 class EventStore:
     """Reads and writes the tables under ``root``."""
 
@@ -100,12 +96,14 @@ class EventStore:
     def rejected_events(self) -> DataFrame:
         return read_table(self.spark, self.rejected_path, REJECTED_EVENTS, [_BATCH])
 
-    def raw_events(self, up_to: int | None = None) -> DataFrame:
-        raw = read_table(self.spark, self.raw_path, RAW_EVENTS, [_EVENT_DATE, _BATCH])
+    def raw_events(
+        self, up_to: int | None = None, days: Sequence[dt.date | str] | None = None
+    ) -> DataFrame:
+        raw = read_table(self.spark, self.raw_path, RAW_EVENTS, [EVENT_DATE, _BATCH], days)
         return raw if up_to is None else raw.filter(F.col("batch_id") <= up_to)
 
-    def job_runs(self) -> DataFrame:
-        return read_table(self.spark, self.runs_path, JOB_RUNS, [_RUN_DATE])
+    def job_runs(self, days: Sequence[dt.date | str] | None = None) -> DataFrame:
+        return read_table(self.spark, self.runs_path, JOB_RUNS, [_RUN_DATE], days)
 
     def funnel_metrics(self) -> DataFrame:
         return read_table(self.spark, self.funnel_path, FUNNEL_METRICS, [_METRIC_DATE])
@@ -116,10 +114,8 @@ class EventStore:
     def last_committed(self) -> int | None:
         """Number of the newest batch whose events and metrics are both written."""
         for day, _ in reversed(partition_values(self.spark, self.runs_path)):
-            done = self.job_runs().filter(
-                (F.col("run_date") == F.lit(day).cast("date"))
-                & (F.col("dag_id") == PUBLISH)
-                & (F.col("status") == SUCCESS)
+            done = self.job_runs([day]).filter(
+                (F.col("dag_id") == PUBLISH) & (F.col("status") == SUCCESS)
             )
             newest = done.agg(F.max("batch_id")).first()[0]
             if newest is not None:
@@ -133,7 +129,7 @@ class EventStore:
         return max(numbers, default=None)
 
     def product_metrics(
-        self, days: list[dt.date] | None = None, up_to: int | None = None
+        self, days: Sequence[dt.date] | None = None, up_to: int | None = None
     ) -> DataFrame:
         """Metrics per (date, product) as of a committed batch, the newest by default."""
         up_to = self.last_committed() if up_to is None else up_to
@@ -142,16 +138,16 @@ class EventStore:
         snapshots, newest = self._snapshots(days, up_to)
         versions = ["metric_date", *(f.name for f in _VERSION)]
         base = snapshots.join(F.broadcast(newest), versions, "left_semi")
-        log = read_table(self.spark, self.log_path, PRODUCT_METRICS, [_BATCH])
+        log = read_table(self.spark, self.log_path, PRODUCT_METRICS, [_METRIC_DATE, _BATCH], days)
         pending = (
-            log.filter((F.col("batch_id") <= up_to) & _on_days("metric_date", days))
+            log.filter(F.col("batch_id") <= up_to)
             .join(F.broadcast(newest.drop("run")), "metric_date", "left")
             .filter(F.col("as_of").isNull() | (F.col("batch_id") > F.col("as_of")))
         )
         columns = PRODUCT_METRICS.names
         return fold_metrics(base.select(*columns).unionByName(pending.select(*columns)))
 
-    def measures(self, days: list[dt.date] | None = None) -> DataFrame:
+    def measures(self, days: Sequence[dt.date] | None = None) -> DataFrame:
         """The metrics as a measure table: totals, funnels, rankings and categories read
         this instead of the events. It outlives pruned events, and counts a product under
         its newest name of the day."""
@@ -162,26 +158,25 @@ class EventStore:
 
     def latest_events(self, limit: int = 50, event_type: str = "ALL") -> DataFrame:
         """The newest events, reading only as many of the newest days as hold ``limit``."""
-        raw = of_type(self.raw_events(), event_type)
         days = [day for day, _ in reversed(partition_values(self.spark, self.raw_path))]
         span = 1
         while span < len(days):
-            recent = raw.filter(F.col("event_date") >= F.lit(days[span - 1]).cast("date"))
+            recent = of_type(self.raw_events(days=days[:span]), event_type)
             if recent.limit(limit).count() >= limit:
                 return latest_events(recent, limit)
             span *= 2
-        return latest_events(raw, limit)
+        return latest_events(self.raw_events(), limit, event_type)
 
-    def _snapshots(self, days: list[dt.date] | None, up_to: int) -> tuple[DataFrame, DataFrame]:
+    def _snapshots(self, days: Sequence[dt.date] | None, up_to: int) -> tuple[DataFrame, DataFrame]:
         """Snapshot rows, and each day's newest version.
 
         The versions are partition values: finding them reads no data columns, and there
         is one row per stored day (a DATE has fewer than four million values), which
         bounds what the reader broadcasts.
         """
-        snapshots = read_table(self.spark, self.snapshot_path, PRODUCT_METRICS, _VERSION).filter(
-            (F.col("as_of") <= up_to) & _on_days("metric_date", days)
-        )
+        snapshots = read_table(
+            self.spark, self.snapshot_path, PRODUCT_METRICS, [_METRIC_DATE, *_VERSION], days
+        ).filter(F.col("as_of") <= up_to)
         versions = snapshots.select("metric_date", "as_of", "run").distinct()
         newest = versions.groupBy("metric_date").agg(F.max(F.struct("as_of", "run")).alias("v"))
         return snapshots, newest.select("metric_date", "v.as_of", "v.run")
@@ -230,6 +225,11 @@ class EventStore:
             batch_id=number,
         )
 
+    def clean_landing(self, below: int) -> int:
+        """Delete landed batches with smaller numbers; returns how many there were."""
+        drop = drop_partitions(self.spark, self.landing_path, lambda v: int(v) < below)
+        return len(drop)
+
     # --- jobs --------------------------------------------------------------------
 
     def record_run(self, **fields) -> None:
@@ -254,14 +254,14 @@ class EventStore:
         as_of = self.last_committed()
         if as_of is None:
             return False
-        events = self.raw_events(as_of).filter(F.col("event_date") == F.lit(day))
+        events = self.raw_events(as_of, [day])
         if events.isEmpty():
             return False
         current = self.product_metrics([day], as_of)
         self._write_snapshot(merge_replace(current, product_metrics(events)), as_of, run)
         return True
 
-    def compact(self, days: list[dt.date], run: int | None = None) -> None:
+    def compact(self, days: Sequence[dt.date], run: int | None = None) -> None:
         """Turn the log rows of the given days into one snapshot each."""
         as_of = self.last_committed()
         if as_of is not None:
@@ -295,12 +295,13 @@ class EventStore:
         retention may have cut is refused."""
         if oldest_kept is not None and day < oldest_kept:
             raise ValueError(f"{day} is before {oldest_kept}, the oldest day kept in full")
-        row = funnel_day(self.raw_events(), day, updated_at)
+        row = funnel_day(self.raw_events(days=[day]), day, updated_at)
         write_partitions(row, self.funnel_path, "metric_date")
 
     def prune(self, oldest_kept: dt.date) -> int:
         """Drop whole days of raw events before ``oldest_kept``; returns the row count."""
-        doomed = self.raw_events().filter(F.col("event_date") < F.lit(oldest_kept))
-        rows = doomed.count()
-        drop_partitions(self.spark, self.raw_path, lambda v: v < oldest_kept.isoformat())
+        old = [day for day, _ in partition_values(self.spark, self.raw_path)]
+        old = [day for day in old if day < oldest_kept.isoformat()]
+        rows = self.raw_events(days=old).count()
+        drop_partitions(self.spark, self.raw_path, lambda day: day in old)
         return rows

@@ -29,7 +29,8 @@ def store(spark, root):
 
 def run(spark, store, *argv, now=NOW):
     args = jobs._parser().parse_args(["--root", store.root, *argv])
-    args.day = parse_day(args.date, now) if args.job in ("daily", "funnel") else None
+    dated = args.job in ("daily", "funnel") or getattr(args, "date", None)
+    args.day = parse_day(args.date, now) if dated else None
     return jobs.run(spark, args, now)
 
 
@@ -74,6 +75,8 @@ def test_funnel_prune_check_topics(spark, store):
 def test_check_job_counts_copies(spark, store):
     store.publish_batch(events_df(spark, [event("v0")]), 1)
     assert run(spark, store, "check") == 1
+    assert run(spark, store, "check", "--date", str(DAY)) == 1
+    assert run(spark, store, "check", "--date", str(NOW.date())) == 0
 
 
 def test_marts(spark, store, tmp_path):

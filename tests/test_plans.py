@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from clickfold.operators import funnels, products, serving
 from clickfold.operators.ingest import dedup, parse_events, split_valid
@@ -11,7 +12,7 @@ from clickfold.operators.staging import on_day, stage
 from clickfold.plans.catalog import QUERIES
 from clickfold.sources.star_events import bare_events, read
 from tests.conftest import SF_DIR
-from tests.rows import events_df, messages_df
+from tests.rows import event, events_df, messages_df
 
 
 def plan(df):
@@ -26,6 +27,20 @@ def test_day_filter_and_columns_reach_the_scan(spark):
     assert "user_id" not in text.split("ReadSchema")[1]
 
 
+def test_stored_days_prune_partitions(spark, tmp_path):
+    day = dt.date(2026, 3, 1)
+    path = str(tmp_path / "raw")
+    dated = events_df(spark, [event("a")]).withColumn("event_date", F.to_date("created_at"))
+    dated.write.partitionBy("event_date").parquet(path)
+    raw = spark.read.parquet(path)
+    for df in (
+        products.product_metrics(on_day(raw, day)),
+        funnels.funnel_analysis(stage(raw).filter(F.col("event_date") == F.lit(day))),
+    ):
+        filters = plan(df).split("PartitionFilters: [")[1].split("]")[0]
+        assert "event_date" in filters and "2026-03-01" in filters
+
+
 def test_time_window_reaches_the_scan(spark):
     as_of = dt.datetime(2024, 1, 30)
     text = plan(serving.events_per_sec(bare_events(spark, SF_DIR), as_of))

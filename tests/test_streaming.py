@@ -10,6 +10,7 @@ from clickfold.operators.ingest import dedup, parse_events, split_valid
 from clickfold.schemas import CLICK_TOPIC, MAIN_TOPIC, PURCHASE_TOPIC
 from clickfold.sources.kafka import read_event_stream
 from clickfold.streaming.live import (
+    clean_landing,
     live_throughput,
     run_available,
     start_landing,
@@ -69,7 +70,7 @@ def shop(n=40, start=0):
         )
 
 
-def send_fanned_out(log, events, parts=4):
+def send_fanned_out(log, events, parts=3):
     events = list(events)
     size = -(-len(events) // parts)
     for begin in range(0, len(events), size):
@@ -246,11 +247,20 @@ def test_lost_checkpoint(log, store, root):
     assert ordered(store.product_metrics()) == ordered(expected(log))
 
 
-def test_published_files_can_be_cleaned(log, store, root):
-    options = {"cleanSource": "delete", "spark.sql.streaming.fileSource.cleaner.numThreads": "0"}
-    for begin in range(0, 40, 10):
+def test_published_batches_can_be_cleaned(log, store, root):
+    for begin in (0, 10, 20, 30):
         log.send([v for _, v in shop(10, begin)])
-        run_available(log.stream(), store, f"{root}/cp", options)
+    start_landing(log.stream(), store, f"{root}/land", None).awaitTermination()
+    for begin in (5, 25):
+        log.send([v for _, v in shop(10, begin)])
+    one_file = {"maxFilesPerTrigger": "1"}
+    publishing = start_publishing(store, f"{root}/pub", None, source_options=one_file)
+    publishing.awaitTermination()
+    # The newest batch may have files left to publish.
+    assert clean_landing(store, publishing) == 3
+    assert clean_landing(store, publishing) == 0
+    start_landing(log.stream(), store, f"{root}/land", None).awaitTermination()
+    start_publishing(store, f"{root}/pub", None, source_options=one_file).awaitTermination()
     assert store.raw_events().count() == 40
     assert ordered(store.product_metrics()) == ordered(expected(log))
 
