@@ -49,23 +49,41 @@ def route_to_topics(events: DataFrame, *carry: Column | str) -> DataFrame:
     )
 
 
-def topic_stats(raw: DataFrame, recorded_at: dt.datetime | Column | None = None) -> DataFrame:
+def topic_counts(messages: DataFrame) -> DataFrame:
+    """Messages and offset range per topic partition."""
+    return messages.groupBy("kafka_topic", "kafka_partition").agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.min("kafka_offset").alias("first_offset"),
+        F.max("kafka_offset").alias("last_offset"),
+    )
+
+
+def merge_topic_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several batches as one."""
+    return counts.groupBy("kafka_topic", "kafka_partition").agg(
+        F.sum("messages").alias("messages"),
+        F.min("first_offset").alias("first_offset"),
+        F.max("last_offset").alias("last_offset"),
+    )
+
+
+def topic_totals(
+    counts: DataFrame, recorded_at: dt.datetime | Column | None = None
+) -> DataFrame:
     """Messages and last offset per topic; ``offset_span`` adds up the offset ranges of
-    the partitions and so also covers messages that were not kept."""
+    the partitions and so also covers messages that were not received."""
     stamp = F.lit(None).cast("timestamp_ntz") if recorded_at is None else ntz(recorded_at)
-    offset = F.col("kafka_offset")
-    partitions = raw.groupBy("kafka_topic", "kafka_partition").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(offset).alias("last"),
-        (F.max(offset) - F.min(offset) + 1).alias("span"),
-    )
     return (
-        partitions.groupBy(F.col("kafka_topic").alias("topic_name"))
+        counts.groupBy(F.col("kafka_topic").alias("topic_name"))
         .agg(
-            F.sum("n").alias("message_count"),
-            F.max("last").alias("last_offset"),
-            F.sum("span").alias("offset_span"),
+            F.sum("messages").alias("message_count"),
+            F.max("last_offset").alias("last_offset"),
+            F.sum(F.col("last_offset") - F.col("first_offset") + 1).alias("offset_span"),
         )
         .withColumn("recorded_at", stamp)
         .select(*TOPIC_STATS.names)
     )
+
+
+def topic_stats(messages: DataFrame, recorded_at: dt.datetime | Column | None = None) -> DataFrame:
+    return topic_totals(topic_counts(messages), recorded_at)

@@ -156,7 +156,7 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
         if args.job == "funnel":
             store.upsert_funnel_day(args.day, now, default_cutoff(now).date())
         elif args.job == "marts":
-            build_marts(spark, store.raw_events(), args.out, args.day)
+            build_marts(spark, store.raw_events(days=args.day), args.out, args.day)
         elif args.job == "prune":
             return store.prune(default_cutoff(now, args.days).date())
         elif args.job == "check":

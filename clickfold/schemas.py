@@ -142,3 +142,13 @@ TOPIC_STATS = T.StructType(
         T.StructField("recorded_at", T.TimestampNTZType()),
     ]
 )
+
+TOPIC_COUNTS = T.StructType(
+    [
+        T.StructField("kafka_topic", T.StringType()),
+        T.StructField("kafka_partition", T.IntegerType()),
+        T.StructField("messages", T.LongType()),
+        T.StructField("first_offset", T.LongType()),
+        T.StructField("last_offset", T.LongType()),
+    ]
+)

@@ -10,7 +10,9 @@ metric_log     metric_date, batch_id      what one batch adds to (date, product)
 snapshots      metric_date, as_of, run    a day's metrics, complete up to batch as_of
 funnel         metric_date                one funnel row per day
 job_runs       run_date                   one row per batch or job
-topic_stats    run_date                   message counts per topic
+topic_log      batch_id                   messages per topic partition in one batch
+topic_counts   as_of                      messages per topic partition up to a batch
+topic_stats    run_date                   recorded totals per topic
 =============  =========================  ==============================================
 
 A batch only ever overwrites the partitions that carry its own number, so repeating it
@@ -36,7 +38,7 @@ from clickfold.operators.funnels import funnel_day
 from clickfold.operators.ingest import accepted, dedup, parse_events, rejected, tag_rejects
 from clickfold.operators.merging import fold_metrics, merge_replace
 from clickfold.operators.products import product_metrics
-from clickfold.operators.routing import topic_stats
+from clickfold.operators.routing import merge_topic_counts, topic_counts, topic_totals
 from clickfold.operators.serving import latest_events
 from clickfold.operators.staging import of_type
 from clickfold.schemas import (
@@ -45,6 +47,7 @@ from clickfold.schemas import (
     PRODUCT_METRICS,
     RAW_EVENTS,
     REJECTED_EVENTS,
+    TOPIC_COUNTS,
     TOPIC_STATS,
 )
 from clickfold.session import BATCH_CONF, session_conf
@@ -89,6 +92,8 @@ class EventStore:
         self.snapshot_path = f"{self.root}/snapshots"
         self.funnel_path = f"{self.root}/funnel"
         self.runs_path = f"{self.root}/job_runs"
+        self.topic_log_path = f"{self.root}/topic_log"
+        self.topic_counts_path = f"{self.root}/topic_counts"
         self.topic_path = f"{self.root}/topic_stats"
 
     # --- reads -------------------------------------------------------------------
@@ -123,8 +128,13 @@ class EventStore:
         return None
 
     def last_landed(self) -> int | None:
-        """Number of the newest batch that left events or rejects."""
-        paths = (self.landing_path, self.rejected_path)
+        """Number of the newest batch that was landed."""
+        paths = (
+            self.landing_path,
+            self.rejected_path,
+            self.topic_log_path,
+            self.topic_counts_path,
+        )
         numbers = [int(v) for path in paths for v, _ in partition_values(self.spark, path)]
         return max(numbers, default=None)
 
@@ -194,6 +204,10 @@ class EventStore:
             counts = tagged.agg(
                 F.count(F.lit(1)).alias("n"), F.count("reject_reason").alias("bad")
             ).first()
+            if not counts.n:
+                return
+            seen = topic_counts(tagged).withColumn("batch_id", F.lit(number))
+            write_partitions(seen, self.topic_log_path, "batch_id")
             if counts.n > counts.bad:
                 good = dedup(accepted(tagged)).withColumn("batch_id", F.lit(number))
                 write_partitions(good, self.landing_path, "batch_id")
@@ -237,9 +251,31 @@ class EventStore:
         row.write.mode("append").partitionBy("run_date").parquet(self.runs_path)
 
     def record_topic_stats(self, recorded_at: dt.datetime) -> None:
-        stats = topic_stats(self.raw_events(), recorded_at)
-        dated = stats.withColumn("run_date", F.to_date("recorded_at"))
+        """Record how many messages each topic has delivered so far, copies and rejects
+        included. The counts of landed batches are folded into one table as of the
+        newest, which replaces them."""
+        logged = [int(v) for v, _ in partition_values(self.spark, self.topic_log_path)]
+        folded = [int(v) for v, _ in partition_values(self.spark, self.topic_counts_path)]
+        base = max(folded, default=-1)
+        newest = max([base, *logged])
+        if newest < 0:
+            return
+        if newest > base:
+            new = [b for b in logged if b > base]
+            log = read_table(self.spark, self.topic_log_path, TOPIC_COUNTS, [_BATCH], new)
+            merged = merge_topic_counts(
+                self._topic_counts(base).drop("as_of").unionByName(log.drop("batch_id"))
+            )
+            as_of = merged.withColumn("as_of", F.lit(newest))
+            write_partitions(as_of, self.topic_counts_path, "as_of")
+        totals = topic_totals(self._topic_counts(newest), recorded_at)
+        dated = totals.withColumn("run_date", F.to_date("recorded_at"))
         dated.write.mode("append").partitionBy("run_date").parquet(self.topic_path)
+        drop_partitions(self.spark, self.topic_log_path, lambda v: int(v) <= newest)
+        drop_partitions(self.spark, self.topic_counts_path, lambda v: int(v) < newest)
+
+    def _topic_counts(self, as_of: int) -> DataFrame:
+        return read_table(self.spark, self.topic_counts_path, TOPIC_COUNTS, [_VERSION[0]], [as_of])
 
     def replace_day(
         self, day: dt.date, oldest_kept: dt.date | None = None, run: int | None = None
