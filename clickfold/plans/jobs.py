@@ -101,6 +101,7 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--checkpoint", required=True)
     stream.add_argument("--every", default=EVERY)
     stream.add_argument("--max-offsets", type=int, help="messages per landing batch at most")
+    stream.add_argument("--min-partitions", type=int, help="split hot topic partitions")
     stream.add_argument("--max-bytes", default=str(64 * 1024**3), help="per published batch")
     stream.add_argument("--first-landing", type=int, default=0, help="after a lost checkpoint")
     stream.add_argument("--first-batch", type=int, default=0, help="after a lost checkpoint")
@@ -130,9 +131,12 @@ def _parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int | None:
     store = EventStore(spark, args.root)
     if args.job == "stream":
-        messages = read_event_stream(
-            spark, kafka_options(args.servers, max_offsets_per_trigger=args.max_offsets)
+        options = kafka_options(
+            args.servers,
+            max_offsets_per_trigger=args.max_offsets,
+            min_partitions=args.min_partitions,
         )
+        messages = read_event_stream(spark, options)
         land_at, publish_at = f"{args.checkpoint}/land", f"{args.checkpoint}/publish"
         start_landing(messages, store, land_at, args.every, args.first_landing)
         publishing = start_publishing(
