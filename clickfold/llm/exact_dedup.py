@@ -102,7 +102,9 @@ def exact_groups(
     groups = recipes.groupBy("recipe").agg(
         F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    # A group of any size is one row on the right; Spark splits a hot recipe on the left.
+    # A group of any size is one row on the right. With both sides stored, nothing but the
+    # exchange stands below the join, and Spark splits a hot recipe on the left.
+    groups = scratch.put(groups, "groups")
     return recipes.join(groups, "recipe").select(
         F.col("id").alias(id_col),
         (-F.col("best.id")).alias("keep_id"),

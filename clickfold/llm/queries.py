@@ -5,15 +5,83 @@ Each applies its operator to the whole intended table and derives the digest col
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickfold.llm import exact_dedup, simhash
+import corpus_pipeline
+from clickfold.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_text,
+    licenses,
+    near_vectors,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    url_filter,
+)
+
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), path, digests=True)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda p: p["kind"].isin(*secrets.BASE_KINDS))
+    return scanned.select(
+        *("doc_id", "n_assign", "n_access", "n_hex"),
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text("found").alias("spans"),
+    )
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        digests=True,
+    )
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "fingerprint", "component_id")
@@ -41,10 +109,23 @@ WINDOW best AS (PARTITION BY body ORDER BY n_chars DESC, doc_id)
 """
 
 LLM_QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_packing": op4_packing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
+# The others take steps that SQL cannot express; they are tested against plain versions.
 LLM_ORACLES = {
+    "op1_license_scan": licenses.SQL,
     "op10_exact_dedup": OP10_SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

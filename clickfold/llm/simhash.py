@@ -220,7 +220,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = component_roots(links, scratch).withColumnsRenamed({"node": "fp"})
     placed = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    components = placed.join(least, "root").select("fp", "component_id")
+    # Stored, so that Spark can split a hot fingerprint in the join below.
+    components = scratch.put(placed.join(least, "root").select("fp", "component_id"), "placed")
     return rows.join(components, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
