@@ -171,12 +171,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 _VALUES = ",\n    ".join(
-    f"({t}, '{label}', {base}, {n}, {i}, ['{a}', '{b}', '{c}'])"
+    f"({t}, '{label}', {base}, {n}, {i}, '{a}', '{b}', '{c}')"
     for t, label, base, n, i, (a, b, c) in template_rows()
 )
 
 SQL = rf"""
-WITH templates(template, label, base, grams, tpos, gram) AS (
+WITH templates(template, label, base, grams, tpos, t0, t1, t2) AS (
   VALUES
     {_VALUES}
 ), texts AS (
@@ -186,10 +186,13 @@ WITH templates(template, label, base, grams, tpos, gram) AS (
            '{WORD}') AS words
   FROM documents
 ), rolling AS (
-  SELECT r, words, unnest(range(len(words))) AS pos FROM texts
+  SELECT r, unnest(list_zip(words, words[2:], words[3:])) AS gram,
+         unnest(range(len(words))) AS pos
+  FROM texts
 ), votes AS (
   SELECT r, template, label, base, grams, tpos, pos - tpos AS diagonal
-  FROM (SELECT r, pos, words[pos + 1:pos + {K}] AS gram FROM rolling) JOIN templates USING (gram)
+  FROM (SELECT r, pos, gram[1] AS w0, gram[2] AS w1, gram[3] AS w2 FROM rolling)
+  JOIN templates ON w0 = t0 AND w1 = t1 AND w2 = t2
 ), diagonals AS (
   SELECT r, template, label, base, grams, diagonal, count(*) AS votes, list(tpos) AS held
   FROM votes GROUP BY ALL
