@@ -8,6 +8,7 @@ logarithmic number of steps.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,13 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickfold.llm.scratch import Scratch
+from clickfold.llm.worker import kept
 
 LENGTH = 2048
 END = 1
 #: Documents in a group, on average: a larger group pads less and takes longer.
 GROUP = 8192
-#: Words whose ids a task remembers before it starts over. Only memory depends on it.
-MEMO = 300_000
+#: Words whose ids a worker remembers before it starts over, words given to the library at
+#: once, and characters whose words are looked up together. Only memory depends on them.
+MEMO = 1_200_000
+LOT = 1000
+STRETCH = 4_000_000
+#: Stands between words; no other word's ids hold its id.
+SIGN = "\x01"
 _ID = np.dtype("<u4")
 
 
@@ -67,28 +74,63 @@ class WordTokenizer:
     """Ids of a tokenizer that drops white space, as little-endian bytes.
 
     Such a tokenizer treats what lies between blanks alone, so each distinct word is encoded
-    by the library once and remembered.
+    by the library once and remembered. Words go to the library many at a time, with a control
+    character between them whose id marks where the next one begins.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the library would wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
         self.memo: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self.memo)
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set(words)
-            new = list(new)
-            for word, made in zip(
-                new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            ):
-                self.memo[word] = np.array(made.ids, _ID).tobytes()
-        return b"".join(map(self.memo.__getitem__, words))
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(m.ids, _ID) for m in made]
+
+    def learn(self, texts: list[str]) -> None:
+        """Remember the words of the texts that are new."""
+        words = set()
+        for text in texts:
+            words.update(text.replace("\n", " ").split(" "))
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = list(words)
+        odd = [w for w in new if SIGN in w]
+        if odd:
+            new = [w for w in new if SIGN not in w]
+            self.memo.update(zip(odd, (ids.tobytes() for ids in self._ids(odd))))
+        lots = [new[i : i + LOT] for i in range(0, len(new), LOT)]
+        for lot, ids in zip(lots, self._ids([f" {SIGN} ".join(lot) for lot in lots])):
+            ends = np.flatnonzero(ids == self.mark) * _ID.itemsize
+            data, width = ids.tobytes(), _ID.itemsize
+            starts = [0, *(ends + width).tolist()]
+            for word, start, end in zip(lot, starts, [*ends.tolist(), len(data)]):
+                self.memo[word] = data[start:end]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, some texts at a time."""
+        for group in _by_size(texts):
+            self.learn(group)
+            for text in group:
+                yield b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _by_size(texts: list[str]) -> Iterator[list[str]]:
+    """Stretches of the texts of about :data:`STRETCH` characters, or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size > STRETCH:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def pieces(
@@ -104,13 +146,14 @@ def pieces(
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = kept(("word_tokenizer", path), lambda: WordTokenizer(path))
         end = np.array([END], _ID).tobytes()
         for batch in batches:
             rows, ids = [], []
-            for row, doc, text in batch.itertuples(index=False, name=None):
+            encoded = tokenizer.encode_all(batch["text"].tolist())
+            for row, doc, made in zip(batch["row"], batch["id"], encoded):
                 doc = None if pd.isna(doc) else int(doc)
-                made = tokenizer.encode(text) + end
+                made += end
                 n = len(made) // _ID.itemsize
                 for start in range(0, n, length):
                     size = min(length, n - start)
