@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickfold.llm.worker import kept
+
 #: Bits of one bitmap word; two levels of words cover WORD_BITS squared ranks and more.
 WORD_BITS = 10
-#: Pre-tokens whose ids a task remembers before it starts over. Only memory depends on it.
-MEMO = 400_000
+#: Pre-tokens whose ids a worker remembers before it starts over. Only memory depends on it.
+MEMO = 1_200_000
 
 _LOW = (1 << WORD_BITS) - 1
 
@@ -41,14 +43,17 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            high = rank >> WORD_BITS
-            self.top |= 1 << high
-            self.words[high] = self.words.get(high, 0) | 1 << (rank & _LOW)
+        if rank in self.buckets:
+            heappush(self.buckets[rank], position)
+            return
+        self.buckets[rank] = [position]
+        high = rank >> WORD_BITS
+        bit = 1 << (rank & _LOW)
+        if high in self.words:
+            self.words[high] |= bit
         else:
-            heappush(bucket, position)
+            self.words[high] = bit
+            self.top |= 1 << high
 
     def pop(self) -> tuple[int, int] | None:
         """The next (rank, position), stale ones included; None at the end."""
@@ -60,48 +65,53 @@ class RankQueue:
         bit = word & -word
         rank = high << WORD_BITS | bit.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word ^= bit
-            self.words[high] = word
-            if not word:
-                self.top = top ^ (1 << high)
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        if word == bit:
+            del self.words[high]
+            self.top = top & (top - 1)
+        else:
+            self.words[high] = word ^ bit
+        return rank, bucket[0]
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of one pre-token."""
-    whole = ranks.get(piece)
+    known = ranks.get
+    whole = known(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
     after = list(range(1, n + 1))
     before = list(range(-1, n))
     # The rank of the pair that starts at a position; None also for merged-away positions.
-    pair = [ranks.get(piece[i : i + 2]) for i in range(n - 1)]
+    pair = [known(piece[i : i + 2]) for i in range(n - 1)]
     pair.append(None)
     queue = RankQueue()
+    push, pop = queue.push, queue.pop
     for i, rank in enumerate(pair):
         if rank is not None:
-            queue.push(rank, i)
-    while (entry := queue.pop()) is not None:
+            push(rank, i)
+    while (entry := pop()) is not None:
         rank, i = entry
         if pair[i] != rank:
             continue
         j = after[i]
-        k = after[j]
-        after[i] = k
-        before[k] = i
+        k = after[i] = after[j]
         pair[j] = None
-        pair[i] = rank = ranks.get(piece[i : after[k]]) if k < n else None
-        if rank is not None:
-            queue.push(rank, i)
+        if k < n:
+            before[k] = i
+            pair[i] = rank = known(piece[i : after[k]])
+            if rank is not None:
+                push(rank, i)
+        else:
+            pair[i] = None
         h = before[i]
         if h >= 0:
-            pair[h] = rank = ranks.get(piece[h:k])
+            pair[h] = rank = known(piece[h:k])
             if rank is not None:
-                queue.push(rank, h)
+                push(rank, h)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -163,7 +173,7 @@ def encode_documents(
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBPE(path, pattern)
+        bpe = kept(("byte_bpe", path, pattern), lambda: ByteBPE(path, pattern))
         spelled = {rank: str(rank) for rank in bpe.spelled}
         for batch in batches:
             rows = []
