@@ -16,9 +16,22 @@ def utc_wall_clock(instant: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
+#: A date of years 0001 to 9999, then a time, then an offset or none (UTC).
+ISO_TIME = (
+    r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+    r"(Z|[+-]\d{2}(:?\d{2})?)?$"
+)
+
+
 def parse_instant(text: Column) -> Column:
-    """ISO-8601 text to UTC wall-clock time; null when it is not a time."""
-    return utc_wall_clock(text.try_cast("timestamp"))
+    """ISO-8601 text to UTC wall-clock time; null when it is not a whole time.
+
+    A cast alone would complete a time of day with today's date and a year with 1 January,
+    and take years of five digits. An offset may move the time out of the years; such a
+    time is null as well.
+    """
+    at = utc_wall_clock(F.when(text.rlike(ISO_TIME), text.try_cast("timestamp")))
+    return F.when(F.year(at).between(1, 9999), at)
 
 
 def iso_utc(time: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickfold.functions.clock import parse_instant
+from clickfold.functions.clock import ntz, parse_instant
 from clickfold.operators.quality import any_of, over_limits, violations
 from clickfold.schemas import (
     MAIN_TOPIC,
@@ -49,16 +51,19 @@ def parse_events(messages: DataFrame) -> DataFrame:
     )
 
 
-def _reason() -> Column:
+def _reason(latest: dt.datetime | None) -> Column:
     """What is wrong with a message; null, at the cost of the conditions only, if nothing."""
     checks = [(F.col(c).isNull(), f"{c} missing") for c in REQUIRED]
+    if latest is not None:
+        checks.append((F.col("created_at") > ntz(latest), "created_at ahead"))
     checks += over_limits({**TEXT_LIMITS, "product_price": PRICE})
     return F.when(any_of(checks), F.concat_ws("; ", *violations(checks)))
 
 
-def tag_rejects(parsed: DataFrame) -> DataFrame:
-    """Add ``reject_reason`` (null for a good event); only rejects keep their text."""
-    tagged = parsed.withColumn(_REASON, _reason())
+def tag_rejects(parsed: DataFrame, latest: dt.datetime | None = None) -> DataFrame:
+    """Add ``reject_reason`` (null for a good event); only rejects keep their text. An event
+    after ``latest``, where given, is a reject."""
+    tagged = parsed.withColumn(_REASON, _reason(latest))
     return tagged.withColumns(
         {
             "raw_value": F.when(F.col(_REASON).isNotNull(), F.col("raw_value")),

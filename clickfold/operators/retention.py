@@ -27,10 +27,6 @@ def retain(raw: DataFrame, cutoff: dt.datetime | Column) -> DataFrame:
     return raw.filter((at >= ntz(cutoff)) | at.isNull())
 
 
-def expired(raw: DataFrame, cutoff: dt.datetime | Column) -> DataFrame:
-    return raw.filter(F.col("created_at") < ntz(cutoff))
-
-
 def retention_counts(raw: DataFrame, cutoff: dt.datetime | Column) -> DataFrame:
     """How many rows a prune drops and keeps, from one scan of the time column."""
     return raw.agg(

@@ -49,12 +49,13 @@ def route_to_topics(events: DataFrame, *carry: Column | str) -> DataFrame:
     )
 
 
-def topic_counts(messages: DataFrame) -> DataFrame:
+def topic_counts(messages: DataFrame, *extra: Column) -> DataFrame:
     """Messages and offset range per topic partition."""
     return messages.groupBy("kafka_topic", "kafka_partition").agg(
         F.count(F.lit(1)).alias("messages"),
         F.min("kafka_offset").alias("first_offset"),
         F.max("kafka_offset").alias("last_offset"),
+        *extra,
     )
 
 

@@ -28,7 +28,7 @@ from clickfold.operators.ingest import accepted, dedup, parse_events, rejected,
 from clickfold.operators.measures import measure
 from clickfold.operators.staging import on_day, stage
 from clickfold.plans.marts import FUNNEL_MART, PRODUCT_MART, build_marts, read_mart
-from clickfold.schemas import KAFKA_SCHEMA
+from clickfold.schemas import KAFKA_SCHEMA, MAIN_TOPIC, METRIC_KEYS, RAW_EVENTS
 from clickfold.session import scratch_dir
 from clickfold.sources.kafka import read_event_stream
 from clickfold.sources.star_events import (
@@ -38,8 +38,13 @@ from clickfold.sources.star_events import (
     with_locations,
     with_products,
 )
-from clickfold.sources.tables import table_bytes
-from clickfold.streaming.live import start_landing, start_publishing, state_partitions_for
+from clickfold.sources.tables import partition_values, read_table, table_bytes
+from clickfold.streaming.live import (
+    live_throughput,
+    start_landing,
+    start_publishing,
+    state_partitions_for,
+)
 from clickfold.streaming.store import EventStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +56,8 @@ REPLACE_FROM = dt.date(2024, 1, 10)
 CUTOFF = dt.datetime(2024, 1, 15)
 NARROW_LIMITS = {"event_type": 5, "product_name": 10, "product_price": T.DecimalType(4, 2)}
 
-# A streaming check takes about four micro-batches of at most this size.
-MAX_BATCH_BYTES = 64 * 1024**3
+# A streaming check takes about four micro-batches.
+MICRO_BATCHES = 4
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -123,7 +128,9 @@ def funnel_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mart(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = scratch_dir(spark, "marts")
-        build_marts(spark, with_products(bare_events(spark, sf_dir), spark, sf_dir), out)
+        events = bare_events(spark, sf_dir)
+        # Names are looked up for the aggregated rows only.
+        build_marts(spark, events, out, name=lambda d: with_products(d, spark, sf_dir))
         return read_mart(spark, out, name)
 
     return query
@@ -157,7 +164,8 @@ def kpi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_per_sec(spark: SparkSession, sf_dir: str) -> DataFrame:
     # An hour rather than ten seconds, so that a sparse table has something to count.
     events = bare_events(spark, sf_dir)
-    newest = events.agg(F.max("created_at")).scalar()
+    # One value; as a literal the bound reaches the scan.
+    newest = events.agg(F.max("created_at")).first()[0]
     last_10s = serving.events_per_sec(events, newest)
     last_hours = serving.events_per_sec(events, newest, seconds=3600)
     return last_10s.select(F.lit(10).alias("seconds"), "events_per_sec").unionByName(
@@ -251,14 +259,24 @@ def parse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two kinds of messages broken on purpose: cut JSON and a time that is none."""
+    """Messages broken on purpose, one of seven in each of six ways, on all topics."""
     messages = _messages(bare_events(spark, sf_dir))
-    kind = F.get_json_object("value", "$.event_type")
-    cut = F.substring("value", F.lit(1), F.length("value") - 5)
-    no_time = F.regexp_replace("value", r'"timestamp":"[^"]*"', '"timestamp":"soon"')
-    broken = F.when(kind == "ERROR", cut).when(kind == "SIGNUP", no_time).otherwise(F.col("value"))
+    kind = F.col("offset") % 7
+    value = F.col("value")
+    cut = F.substring(value, F.lit(1), F.length(value) - 5)
+    ways = [
+        cut,
+        F.regexp_replace(value, r'"timestamp":"[^"]*"', '"timestamp":"soon"'),
+        F.regexp_replace(value, r'"timestamp":"[^"]*"', '"timestamp":"12:30:00"'),
+        F.regexp_replace(value, r'"event_id":"[^"]*"', '"event_id":null'),
+        F.regexp_replace(value, r'"event_type":"[^"]*"', f'"event_type":"{"X" * 21}"'),
+        F.regexp_replace(value, r'"product_price":[^,}]*', '"product_price":1e9'),
+    ]
+    broken = value
+    for number, way in enumerate(ways):
+        broken = F.when(kind == number, way).otherwise(broken)
     bad = rejected(tag_rejects(parse_events(messages.withColumn("value", broken))))
-    return bad.groupBy("kafka_topic", "reject_reason").agg(F.count(F.lit(1)).alias("messages"))
+    return bad.select("kafka_topic", "kafka_partition", "kafka_offset", "reject_reason")
 
 
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,14 +318,29 @@ def dq_unique_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = with_products(bare_events(spark, sf_dir), spark, sf_dir)
-    columns = ["event_id", "event_type", "created_at", "product_name", "session_id"]
-    return quality.check_not_null(events, columns)
+    """Nulls per column; those of the looked-up name from counts per product."""
+    events = bare_events(spark, sf_dir)
+    own = quality.check_not_null(events, ["event_id", "event_type", "created_at", "session_id"])
+    counted = events.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    unnamed = F.when(F.col("product_name").isNull(), F.col("n"))
+    looked_up = with_products(counted, spark, sf_dir).select(
+        F.lit("product_name").alias("column_name"),
+        F.coalesce(F.sum(unnamed), F.lit(0)).alias("null_rows"),
+    )
+    return own.unionByName(looked_up)
 
 
 def dq_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = with_products(bare_events(spark, sf_dir), spark, sf_dir)
-    return quality.limit_counts(events, NARROW_LIMITS)
+    """Rows over each limit; those of the looked-up name from counts per product."""
+    events = bare_events(spark, sf_dir)
+    own = {k: v for k, v in NARROW_LIMITS.items() if k != "product_name"}
+    counted = events.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    wide = F.when(F.length("product_name") > NARROW_LIMITS["product_name"], F.col("n"))
+    looked_up = with_products(counted, spark, sf_dir).select(
+        F.lit("product_name").alias("column_name"),
+        F.coalesce(F.sum(wide), F.lit(0)).alias("failing_rows"),
+    )
+    return quality.limit_counts(events, own).unionByName(looked_up)
 
 
 def dq_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +388,7 @@ class _ReplayingStore(EventStore):
 
 
 def _quarters(spark: SparkSession, path: str) -> dict[str, str]:
-    quarter = max(1, min(table_bytes(spark, path) // 4, MAX_BATCH_BYTES))
+    quarter = max(1, table_bytes(spark, path) // MICRO_BATCHES)
     return {"maxBytesPerTrigger": str(quarter)}
 
 
@@ -381,8 +414,98 @@ def _streamed(
     return store
 
 
-def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir).raw_events().select(
+_STORED: dict[tuple[str, str], EventStore] = {}
+STORE_BATCHES = 3
+STORE_NOW = dt.datetime(2024, 1, 31)
+STORE_HORIZON = dt.timedelta(days=14)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> EventStore:
+    """A store filled by batches, the copies of an event in different ones, half of the days
+    late, then compacted: what production reads. Built once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STORED:
+        return _STORED[key]
+    store = EventStore(spark, scratch_dir(spark, "store"))
+    messages = _messages(raw_events(spark, sf_dir))
+    part = F.pmod(F.col("offset") + (F.col("topic") != MAIN_TOPIC).cast("int"), F.lit(STORE_BATCHES))
+    for number in range(STORE_BATCHES):
+        store.land_batch(messages.filter(part == number), number, STORE_HORIZON, STORE_NOW)
+        landed = read_table(
+            spark, store.landing_path, RAW_EVENTS, [T.StructField("batch_id", T.LongType())], [number]
+        )
+        events = dedup(landed, store.raw_events())
+        store.publish_batch(events, number, store.take_late(number))
+    metrics = [day for day, _ in partition_values(spark, store.log_path)]
+    store.compact([dt.date.fromisoformat(day) for day in metrics])
+    store.vacuum()
+    store.compact_files(dt.date(9999, 12, 31))
+    _STORED[key] = store
+    return store
+
+
+def store_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_events(_stored(spark, sf_dir))
+
+
+def store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).product_metrics()
+
+
+def store_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.kpi_totals(_stored(spark, sf_dir).measures())
+
+
+def store_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.top_products(_stored(spark, sf_dir).measures())
+
+
+def store_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.funnel_overall(_stored(spark, sf_dir).measures())
+
+
+def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = _stored(spark, sf_dir).latest_events(50).drop("session_id")
+    return latest.withColumns(
+        {
+            "event_id": F.col("event_id").cast("long"),
+            "product_id": F.col("product_id").cast("int"),
+            "user_id": F.col("user_id").cast("long"),
+        }
+    )
+
+
+def store_unique_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, product) of the metrics, one day of them given twice, so that there is something
+    to find."""
+    store = _stored(spark, sf_dir)
+    twice = store.product_metrics().unionByName(store.product_metrics([DAY]))
+    return quality.check_unique(twice, METRIC_KEYS)
+
+
+def store_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals per window as a stream counts them, late ones included."""
+    root = scratch_dir(spark, "throughput")
+    _messages(bare_events(spark, sf_dir)).write.parquet(f"{root}/log")
+    messages = read_event_stream(spark, _quarters(spark, f"{root}/log"), f"{root}/log")
+
+    def write(updates: DataFrame, number: int) -> None:
+        numbered = updates.withColumn("batch", F.lit(number))
+        numbered.write.mode("overwrite").parquet(f"{root}/windows/number={number}")
+
+    query = live_throughput(messages).writeStream.foreachBatch(write).outputMode("update")
+    query = query.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    query.start().awaitTermination()
+    windows = spark.read.parquet(f"{root}/windows").drop("number")
+    newest = F.max(F.struct("batch", *[c for c in windows.columns if c != "batch"])).alias("w")
+    last = windows.groupBy("window_start").agg(newest).select("w.*").drop("batch")
+    return last.withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    )
+
+
+def _stored_events(store: EventStore) -> DataFrame:
+    return store.raw_events().select(
         "event_id",
         "event_type",
         "product_id",
@@ -395,6 +518,10 @@ def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_events(_streamed(spark, sf_dir))
+
+
 def stream_product_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics from the log, one day of them recomputed from its events."""
     store = _streamed(spark, sf_dir)
@@ -446,6 +573,14 @@ QUERIES: dict[str, Query] = {
     "stream_raw": stream_raw,
     "stream_product_metrics": stream_product_metrics,
     "stream_replay": stream_replay,
+    "store_raw": store_raw,
+    "store_metrics": store_metrics,
+    "store_kpis": store_kpis,
+    "store_top_products": store_top_products,
+    "store_funnel": store_funnel,
+    "store_latest": store_latest,
+    "store_unique_metrics": store_unique_metrics,
+    "store_throughput": store_throughput,
 }
 
 

@@ -17,10 +17,17 @@ from clickfold.operators.products import batch_summary, batch_top
 from clickfold.operators.quality import check_not_null, check_unique
 from clickfold.operators.retention import RETENTION_DAYS, default_cutoff
 from clickfold.plans.marts import build_marts
+from clickfold.schemas import METRIC_KEYS
 from clickfold.session import build_session
-from clickfold.sources.kafka import kafka_options, read_event_stream
-from clickfold.sources.tables import require_table
-from clickfold.streaming.live import EVERY, clean_landing, start_landing, start_publishing
+from clickfold.sources.kafka import kafka_options, read_event_stream, resume_offsets
+from clickfold.sources.tables import require_table, table_exists
+from clickfold.streaming.live import (
+    EVERY,
+    clean_landing,
+    refuse_drops,
+    start_landing,
+    start_publishing,
+)
 from clickfold.streaming.store import EventStore
 
 CLEAN_EVERY_SECONDS = 600
@@ -55,13 +62,15 @@ def run_daily(store: EventStore, day: dt.date, now: dt.datetime) -> int:
 
 
 def run_checks(store: EventStore, day: dt.date | None = None) -> int:
-    """Ids must be present and unique, over all days or within one; returns the number of
-    failures."""
+    """Ids must be present and unique, and (date, product) unique in the metrics, over all
+    days or within one; returns the number of failures."""
     raw = store.raw_events(days=None if day is None else [day])
     nulls = check_not_null(raw, ["event_id"]).agg(F.sum("null_rows")).first()[0]
     copies = check_unique(raw, ["event_id"]).count()
-    log.info("event_id: %d null, %d repeated", nulls, copies)
-    return nulls + copies
+    metrics = store.product_metrics(None if day is None else [day])
+    keys = check_unique(metrics, METRIC_KEYS).count()
+    log.info("event_id: %d null, %d repeated; metric keys: %d repeated", nulls, copies, keys)
+    return nulls + copies + keys
 
 
 def recorded(store: EventStore, job: str, now: dt.datetime, work: Callable[[], int | None]):
@@ -77,7 +86,7 @@ def recorded(store: EventStore, job: str, now: dt.datetime, work: Callable[[], i
             started_at=now,
             finished_at=utc_now(),
             records_processed=0,
-            error_message=str(error)[:2000],
+            error_message=str(error),
         )
         raise
     store.record_run(
@@ -103,13 +112,25 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--max-offsets", type=int, help="messages per landing batch at most")
     stream.add_argument("--min-partitions", type=int, help="split hot topic partitions")
     stream.add_argument("--max-bytes", default=str(64 * 1024**3), help="per published batch")
-    stream.add_argument("--first-landing", type=int, default=0, help="after a lost checkpoint")
-    stream.add_argument("--first-batch", type=int, default=0, help="after a lost checkpoint")
+    stream.add_argument(
+        "--starting-offsets",
+        help="of a new checkpoint: earliest, latest or JSON; after a lost checkpoint, by default "
+        "the offsets after the stored messages",
+    )
+    stream.add_argument("--first-landing", type=int, help="after a lost checkpoint")
+    stream.add_argument("--first-batch", type=int, help="after a lost checkpoint")
     stream.add_argument(
         "--recheck-stored", action="store_true", help="compare with ids stored before --first-batch"
     )
-    stream.add_argument("--state-partitions", type=int, help="fixed at the first start")
-    stream.add_argument("--horizon", help="forget event ids older than this, e.g. '90 days'")
+    stream.add_argument(
+        "--state-partitions",
+        type=int,
+        required=True,
+        help="fixed at the first start: about one per 8 GB of events to remember",
+    )
+    stream.add_argument(
+        "--horizon-days", type=int, help="bound the state: older events are merged from storage"
+    )
 
     for name in ("daily", "funnel"):
         job = jobs.add_parser(name)
@@ -125,31 +146,40 @@ def _parser() -> argparse.ArgumentParser:
     check.add_argument("--date", help="YYYY-MM-DD, all days by default")
     jobs.add_parser("topics")
     jobs.add_parser("vacuum")
+    compact = jobs.add_parser("compact", help="merge the files of days before a date")
+    compact.add_argument("--date", help="YYYY-MM-DD, yesterday (UTC) by default")
     return parser
 
 
 def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int | None:
     store = EventStore(spark, args.root)
     if args.job == "stream":
+        land_at, publish_at = f"{args.checkpoint}/land", f"{args.checkpoint}/publish"
+        starting = resume_offsets(
+            args.starting_offsets, store.next_offsets(), table_exists(spark, f"{land_at}/offsets")
+        )
         options = kafka_options(
             args.servers,
+            starting,
             max_offsets_per_trigger=args.max_offsets,
             min_partitions=args.min_partitions,
         )
         messages = read_event_stream(spark, options)
-        land_at, publish_at = f"{args.checkpoint}/land", f"{args.checkpoint}/publish"
-        start_landing(messages, store, land_at, args.every, args.first_landing)
+        horizon = None if args.horizon_days is None else dt.timedelta(days=args.horizon_days)
+        store.finish_compaction()
+        start_landing(messages, store, land_at, args.every, args.first_landing, horizon)
         publishing = start_publishing(
             store,
             publish_at,
             args.every,
-            args.horizon,
+            horizon,
             recheck_stored=args.recheck_stored,
             source_options={"maxBytesPerTrigger": args.max_bytes},
             state_partitions=args.state_partitions,
             first_batch=args.first_batch,
         )
         while not spark.streams.awaitAnyTermination(CLEAN_EVERY_SECONDS):
+            refuse_drops(publishing)
             clean_landing(store, publishing)
         return None
 
@@ -169,6 +199,8 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
             store.record_topic_stats(now)
         elif args.job == "vacuum":
             return store.vacuum()
+        elif args.job == "compact":
+            return store.compact_files(args.day)
         return None
 
     return recorded(store, args.job, now, work)
@@ -181,7 +213,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     now = utc_now()
     # A bad date ends the job before a session starts.
     try:
-        if args.job in ("daily", "funnel"):
+        if args.job in ("daily", "funnel", "compact"):
             args.day = parse_day(args.date, now)
         elif args.job == "check":
             args.day = parse_day(args.date) if args.date else None

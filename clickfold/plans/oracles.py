@@ -234,12 +234,15 @@ ORACLES: dict[str, str] = {
     ),
     "rejected_events": _log(
         """
-        SELECT topic AS kafka_topic,
-               CASE event_type
-                 WHEN 'ERROR' THEN 'event_id missing; event_type missing; created_at missing'
-                 ELSE 'created_at missing' END AS reject_reason,
-               count(*) AS messages
-        FROM log WHERE event_type IN ('ERROR', 'SIGNUP') GROUP BY topic, event_type
+        SELECT topic AS kafka_topic, part_no AS kafka_partition, event_id AS kafka_offset,
+               CASE event_id % 7
+                 WHEN 0 THEN 'event_id missing; event_type missing; created_at missing'
+                 WHEN 1 THEN 'created_at missing'
+                 WHEN 2 THEN 'created_at missing'
+                 WHEN 3 THEN 'event_id missing'
+                 WHEN 4 THEN 'event_type longer than 20'
+                 ELSE 'product_price out of range' END AS reject_reason
+        FROM log WHERE event_id % 7 < 6
         """
     ),
     "dedup_events": _raw(
@@ -348,3 +351,14 @@ ORACLES: dict[str, str] = {
 _STREAMED = f"SELECT * REPLACE (CAST(product_id AS VARCHAR) AS product_id) FROM ({_product_metrics()})"
 ORACLES["stream_product_metrics"] = _STREAMED
 ORACLES["stream_replay"] = _STREAMED
+ORACLES["store_raw"] = ORACLES["stream_raw"]
+ORACLES["store_metrics"] = _STREAMED
+ORACLES["store_kpis"] = ORACLES["kpi_totals"]
+ORACLES["store_top_products"] = ORACLES["top_products_8"]
+ORACLES["store_funnel"] = ORACLES["funnel_overall"]
+ORACLES["store_latest"] = ORACLES["latest_events"]
+ORACLES["store_unique_metrics"] = f"""
+SELECT metric_date, product_id, CAST(2 AS BIGINT) AS copies
+FROM ({_STREAMED}) WHERE metric_date = '{DAY}'
+"""
+ORACLES["store_throughput"] = ORACLES["throughput_10s"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ def kafka_options(
 ) -> dict[str, str]:
     """Options for one subscription to all topics.
 
+    ``starting_offsets`` (``earliest``, ``latest`` or offsets as JSON) holds for a stream
+    without a checkpoint; see :func:`resume_offsets`.
     ``max_offsets_per_trigger`` bounds a micro-batch after an outage;
     ``min_partitions`` splits large topic partitions into more tasks.
     """
@@ -32,6 +35,22 @@ def kafka_options(
     return options
 
 
+def resume_offsets(
+    given: str | None, stored: Mapping[str, Mapping[str, int]], has_checkpoint: bool
+) -> str:
+    """Where a landing stream starts: after the stored messages where its checkpoint was
+    lost. ``latest`` would then skip what was sent meanwhile, and is refused. A topic
+    nothing was stored of starts at its beginning (-2); Kafka wants all partitions named, and
+    refuses the start where others are silent: name those in ``given``."""
+    if has_checkpoint or not stored:
+        return given or "latest"
+    if given == "latest":
+        raise ValueError("messages are stored but the checkpoint is gone: latest would skip some")
+    if given:
+        return given
+    return json.dumps({t: dict(stored[t]) if t in stored else {"0": -2} for t in TOPICS})
+
+
 def read_event_stream(
     spark: SparkSession, options: Mapping[str, str], path: str | None = None
 ) -> DataFrame:

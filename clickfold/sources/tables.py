@@ -13,7 +13,6 @@ from clickfold.schemas import RAW_EVENTS
 EVENT_DATE = T.StructField("event_date", T.DateType())
 
 
-
 def _filesystem(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -57,6 +56,42 @@ def read_table(
     return spark.read.schema(full).option("basePath", path).parquet(*paths)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _filesystem(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder; the target's parent is made, an existing target is refused."""
+    fs, hadoop_path = _filesystem(spark, source)
+    hadoop_target = _filesystem(spark, target)[1]
+    fs.mkdirs(hadoop_target.getParent())
+    if fs.exists(hadoop_target) or not fs.rename(hadoop_path, hadoop_target):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def put_marker(spark: SparkSession, folder: str, number: int) -> None:
+    """Record a number as the name of an empty file, then forget the smaller ones."""
+    fs, path = _filesystem(spark, f"{folder}/{number}")
+    fs.create(path, True).close()
+    for old, location in _markers(spark, folder):
+        if old < number:
+            drop_path(spark, location)
+
+
+def marker(spark: SparkSession, folder: str) -> int | None:
+    """The newest number recorded in a folder."""
+    return max((number for number, _ in _markers(spark, folder)), default=None)
+
+
+def _markers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    if not table_exists(spark, folder):
+        return []
+    fs, path = _filesystem(spark, folder)
+    paths = [status.getPath() for status in fs.listStatus(path)]
+    return [(int(p.getName()), p.toString()) for p in paths if p.getName().isdigit()]
+
+
 def read_raw(spark: SparkSession, path: str, day: dt.date | None = None) -> DataFrame:
     """Raw events, or one day of them."""
     only = None if day is None else [day]

@@ -6,6 +6,8 @@ as state, so finding out whether an id was seen costs one lookup, not a scan of
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +17,14 @@ from clickfold.operators.ingest import accepted, dedup, parse_events, tag_reject
 from clickfold.operators.serving import throughput
 from clickfold.schemas import MAIN_TOPIC, RAW_EVENTS
 from clickfold.session import STATE_STORE_CONF, session_conf
-from clickfold.sources.tables import table_exists
-from clickfold.streaming.store import EventStore
+from clickfold.sources.tables import marker, put_marker, table_exists
+from clickfold.streaming.store import AHEAD, EventStore
 
 EVERY = "10 seconds"
 LANDED = "landed"
 LANDING = T.StructType([*RAW_EVENTS.fields, T.StructField("batch_id", T.LongType())])
 BYTES_PER_STATE_PARTITION = 8 * 1024**3
+FIRST_BATCH = "first_batch"
 
 
 def _start(stream: DataFrame, on_batch, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -33,13 +36,30 @@ def _start(stream: DataFrame, on_batch, checkpoint: str, every: str | None) -> S
     return writer.start()
 
 
-def _refuse_reuse(store: EventStore, checkpoint: str, last: int | None, first_batch: int) -> None:
-    """Batch numbers start over without a checkpoint; they must not hit stored batches."""
-    if last is not None and last >= first_batch and not table_exists(store.spark, checkpoint):
+def _first_number(
+    store: EventStore, checkpoint: str, last: int | None, first_batch: int | None
+) -> int:
+    """The number of the checkpoint's first batch, which is kept with the checkpoint.
+
+    Batch ids start over without a checkpoint, so that the first number must then lie above
+    all stored ones. A later start takes the kept number; another one is refused.
+    """
+    spark, folder = store.spark, f"{checkpoint}/{FIRST_BATCH}"
+    kept = marker(spark, folder)
+    if kept is None and table_exists(spark, f"{checkpoint}/offsets"):
+        kept = 0
+    if kept is not None:
+        if first_batch not in (None, kept):
+            raise ValueError(f"the batches of {checkpoint} start at {kept}, not {first_batch}")
+        return kept
+    first = first_batch or 0
+    if last is not None and last >= first:
         raise ValueError(
             f"batch {last} is already stored but there is no checkpoint at {checkpoint}; "
             "set first_batch above it"
         )
+    put_marker(spark, folder, first)
+    return first
 
 
 def start_landing(
@@ -47,55 +67,72 @@ def start_landing(
     store: EventStore,
     checkpoint: str,
     every: str | None = EVERY,
-    first_batch: int = 0,
+    first_batch: int | None = None,
+    horizon: dt.timedelta | None = None,
 ) -> StreamingQuery:
     """Decode messages into the landing and rejected tables.
 
     ``every=None`` takes what is there and stops. ``first_batch`` numbers the batches of
-    a checkpoint and stays with it: 0, or after a lost checkpoint a number above
-    ``store.last_landed()``.
+    a new checkpoint and stays with it: 0 by default, after a lost checkpoint a number above
+    ``store.last_landed()``. With a ``horizon`` (the one publishing has) events older than it
+    land apart, and events far in the future are rejected.
     """
-    _refuse_reuse(store, checkpoint, store.last_landed(), first_batch)
+    first = _first_number(store, checkpoint, store.last_landed(), first_batch)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        store.land_batch(batch, first_batch + batch_id)
+        store.land_batch(batch, first + batch_id, horizon)
 
     return _start(messages, land, checkpoint, every)
 
 
-def unique_events(events: DataFrame, horizon: str | None = None) -> DataFrame:
+def unique_events(events: DataFrame, horizon: dt.timedelta | None = None) -> DataFrame:
     """Keep the first event of each id on a stream.
 
-    Without a horizon ids are remembered for good and no event is dropped for being
-    late. With one (such as the retention period) an id is forgotten once event time
-    has moved on that far, which bounds the state; events later than that are dropped
-    and counted in the query's progress.
+    Without a horizon ids are remembered for good. With one, an id is forgotten once event
+    time has moved on so far. Landed events are never that late: when they landed they were
+    younger than the horizon, and event time is at most :data:`AHEAD` ahead of the clock.
     """
     if horizon is None:
         return events.dropDuplicates(["event_id"])
+    delay = f"{int((horizon + AHEAD).total_seconds()) + 1} seconds"
     timed = events.withColumn("_at", F.col("created_at").cast("timestamp"))
-    unique = timed.withWatermark("_at", horizon).dropDuplicatesWithinWatermark(["event_id"])
+    unique = timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["event_id"])
     return unique.drop("_at")
 
 
+def refuse_drops(query: StreamingQuery) -> None:
+    """Fail when the watermark dropped rows, which it never should."""
+    for progress in query.recentProgress:
+        for state in progress.stateOperators:
+            if state.numRowsDroppedByWatermark:
+                query.stop()
+                raise RuntimeError(
+                    f"batch {progress.batchId} dropped {state.numRowsDroppedByWatermark} events"
+                )
+
+
 def state_partitions_for(total_bytes: int) -> int:
-    """State partitions for that much event data over the life of the stream: a
-    partition's ids stay a few gigabytes, and even a small stream uses several cores."""
-    return max(8, min(20_000, total_bytes // BYTES_PER_STATE_PARTITION))
+    """State partitions for that much event data within the horizon, or over the life of the
+    stream without one: a partition's ids stay a few gigabytes, and even a small stream uses
+    several cores."""
+    return max(8, total_bytes // BYTES_PER_STATE_PARTITION)
 
 
 def start_publishing(
     store: EventStore,
     checkpoint: str,
     every: str | None = EVERY,
-    horizon: str | None = None,
+    horizon: dt.timedelta | None = None,
     recheck_stored: bool = False,
     source_options: dict[str, str] | None = None,
     state_partitions: int | None = None,
-    first_batch: int = 0,
+    first_batch: int | None = None,
 ) -> StreamingQuery:
     """Publish landed events to ``raw_events`` and the metric log.
 
+    With a ``horizon`` (the one landing has) the state is bounded: events that landed apart
+    as late are compared with the stored ids of their days instead, and join the next batch.
+
     ``state_partitions`` (by default the session's shuffle partitions) is fixed at the
     first start and stays with the checkpoint; size it for all ids to be remembered, see
     :func:`state_partitions_for`. ``source_options`` go to the file source:
@@ -107,7 +144,7 @@ def start_publishing(
     batches, and restart without it once copies of old events can no longer arrive.
     """
     spark = store.spark
-    _refuse_reuse(store, checkpoint, store.last_committed(), first_batch)
+    first = _first_number(store, checkpoint, store.last_committed(), first_batch)
     # The file source insists on an existing folder.
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(store.landing_path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
@@ -122,8 +159,9 @@ def start_publishing(
 
     def publish(events: DataFrame, batch_id: int) -> None:
         if recheck_stored:
-            events = dedup(events, store.raw_events(first_batch - 1))
-        store.publish_batch(events, first_batch + batch_id)
+            events = dedup(events, store.raw_events(first - 1))
+        number = first + batch_id
+        store.publish_batch(events, number, store.take_late(number))
 
     conf = dict(STATE_STORE_CONF)
     if state_partitions is not None:
@@ -152,25 +190,30 @@ def run_available(
     checkpoint: str,
     source_options: dict[str, str] | None = None,
     state_partitions: int | None = None,
+    horizon: dt.timedelta | None = None,
 ) -> None:
     """Land and publish everything available, then return."""
-    start_landing(messages, store, f"{checkpoint}/land", None).awaitTermination()
-    start_publishing(
+    landing = start_landing(messages, store, f"{checkpoint}/land", None, horizon=horizon)
+    landing.awaitTermination()
+    publishing = start_publishing(
         store,
         f"{checkpoint}/publish",
         None,
+        horizon,
         source_options=source_options,
         state_partitions=state_partitions,
-    ).awaitTermination()
+    )
+    publishing.awaitTermination()
+    refuse_drops(publishing)
 
 
-def live_throughput(messages: DataFrame, seconds: int = 10, delay: str = "1 minute") -> DataFrame:
-    """Arrivals per window as a streaming table, for an append or update sink.
+def live_throughput(messages: DataFrame, seconds: int = 10) -> DataFrame:
+    """Arrivals per window as a streaming table, for an update sink.
 
-    Reads the main topic alone, which carries every event once; a window closes
-    ``delay`` after its end.
+    Reads the main topic alone, which carries every event once. Windows stay open, so that
+    late arrivals count; the state is one row per window of the stream's life.
     """
     main = messages.filter(F.col("topic") == MAIN_TOPIC)
     events = accepted(tag_rejects(parse_events(main)))
     timed = events.withColumn("event_at", F.col("created_at").cast("timestamp"))
-    return throughput(timed.withWatermark("event_at", delay), seconds, time="event_at")
+    return throughput(timed, seconds, time="event_at")

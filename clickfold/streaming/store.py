@@ -4,20 +4,23 @@
 table          partitions                 rows
 =============  =========================  ==============================================
 landing        batch_id                   valid events, one per id within a batch
+late           batch_id                   the same, older than the horizon
 rejected       batch_id                   messages set aside, with the reason
 raw_events     event_date, batch_id       events, one per id over all batches
 metric_log     metric_date, batch_id      what one batch adds to (date, product)
 snapshots      metric_date, as_of, run    a day's metrics, complete up to batch as_of
 funnel         metric_date                one funnel row per day
-job_runs       run_date                   one row per batch or job
+job_runs       run_date                   one row per attempt of a batch or job
 topic_log      batch_id                   messages per topic partition in one batch
 topic_counts   as_of                      messages per topic partition up to a batch
 topic_stats    run_date                   recorded totals per topic
 =============  =========================  ==============================================
 
-A batch only ever overwrites the partitions that carry its own number, so repeating it
-changes nothing. Nothing updates a metric row in place: a day's metrics are its newest
-snapshot plus the log rows of later batches, summed.
+A batch first deletes whatever an earlier attempt with its number wrote and then writes its
+own rows, so that repeating it, with other files or dates, leaves one attempt's rows. Its
+number is recorded when all its tables are written; readers see recorded batches only.
+Nothing updates a metric row in place: a day's metrics are its newest snapshot plus the log
+rows of later batches, summed.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.functions.clock import utc_now
+from clickfold.functions.clock import ntz, utc_now
 from clickfold.operators.audit import SUCCESS, run_record
 from clickfold.operators.funnels import funnel_day
 from clickfold.operators.ingest import accepted, dedup, parse_events, rejected, tag_rejects
@@ -54,13 +57,19 @@ from clickfold.session import BATCH_CONF, session_conf
 from clickfold.sources.tables import (
     EVENT_DATE,
     drop_partitions,
+    drop_path,
+    marker,
     partition_values,
+    put_marker,
     read_table,
+    rename,
+    table_exists,
     write_partitions,
 )
 
-LAND = "land"
 PUBLISH = "publish"
+#: How far ahead of the clock an event may be where a horizon bounds the state.
+AHEAD = dt.timedelta(days=1)
 
 _BATCH = T.StructField("batch_id", T.LongType())
 _METRIC_DATE = T.StructField("metric_date", T.DateType())
@@ -95,6 +104,11 @@ class EventStore:
         self.topic_log_path = f"{self.root}/topic_log"
         self.topic_counts_path = f"{self.root}/topic_counts"
         self.topic_path = f"{self.root}/topic_stats"
+        self.late_path = f"{self.root}/late"
+        self.taken_path = f"{self.root}/late_taken"
+        self.committed_path = f"{self.root}/committed"
+        self.vacuumed_path = f"{self.root}/vacuumed"
+        self.compacting_path = f"{self.root}/compacting"
 
     # --- reads -------------------------------------------------------------------
 
@@ -104,8 +118,13 @@ class EventStore:
     def raw_events(
         self, up_to: int | None = None, days: Sequence[dt.date | str] | None = None
     ) -> DataFrame:
+        """Events of the batches up to a number, by default of all committed batches."""
+        up_to = self.last_committed() if up_to is None else up_to
+        if up_to is None:
+            schema = T.StructType([*RAW_EVENTS.fields, EVENT_DATE, _BATCH])
+            return self.spark.createDataFrame([], schema)
         raw = read_table(self.spark, self.raw_path, RAW_EVENTS, [EVENT_DATE, _BATCH], days)
-        return raw if up_to is None else raw.filter(F.col("batch_id") <= up_to)
+        return raw.filter(F.col("batch_id") <= up_to)
 
     def job_runs(self, days: Sequence[dt.date | str] | None = None) -> DataFrame:
         return read_table(self.spark, self.runs_path, JOB_RUNS, [_RUN_DATE], days)
@@ -118,19 +137,13 @@ class EventStore:
 
     def last_committed(self) -> int | None:
         """Number of the newest batch whose events and metrics are both written."""
-        for day, _ in reversed(partition_values(self.spark, self.runs_path)):
-            done = self.job_runs([day]).filter(
-                (F.col("dag_id") == PUBLISH) & (F.col("status") == SUCCESS)
-            )
-            newest = done.agg(F.max("batch_id")).first()[0]
-            if newest is not None:
-                return newest
-        return None
+        return marker(self.spark, self.committed_path)
 
     def last_landed(self) -> int | None:
         """Number of the newest batch that was landed."""
         paths = (
             self.landing_path,
+            self.late_path,
             self.rejected_path,
             self.topic_log_path,
             self.topic_counts_path,
@@ -138,23 +151,51 @@ class EventStore:
         numbers = [int(v) for path in paths for v, _ in partition_values(self.spark, path)]
         return max(numbers, default=None)
 
+    def next_offsets(self) -> dict[str, dict[str, int]]:
+        """Per topic and partition the offset after the last one landed.
+
+        One entry per topic partition; what Kafka calls the starting offsets, for a landing
+        stream whose checkpoint was lost.
+        """
+        counts = read_table(self.spark, self.topic_counts_path, TOPIC_COUNTS, [_VERSION[0]])
+        log = read_table(self.spark, self.topic_log_path, TOPIC_COUNTS, [_BATCH])
+        merged = merge_topic_counts(counts.drop("as_of").unionByName(log.drop("batch_id")))
+        offsets: dict[str, dict[str, int]] = {}
+        for row in merged.collect():
+            of_topic = offsets.setdefault(row.kafka_topic, {})
+            of_topic[str(row.kafka_partition)] = row.last_offset + 1
+        return offsets
+
     def product_metrics(
         self, days: Sequence[dt.date] | None = None, up_to: int | None = None
     ) -> DataFrame:
-        """Metrics per (date, product) as of a committed batch, the newest by default."""
+        """Metrics per (date, product) as of a committed batch, the newest by default.
+
+        A batch before the last :meth:`vacuum` is refused: its rows are gone.
+        """
+        vacuumed = marker(self.spark, self.vacuumed_path)
+        if up_to is not None and vacuumed is not None and up_to < vacuumed:
+            raise ValueError(f"metrics before batch {vacuumed} were vacuumed")
         up_to = self.last_committed() if up_to is None else up_to
         if up_to is None:
             return self.spark.createDataFrame([], PRODUCT_METRICS)
-        snapshots, newest = self._snapshots(days, up_to)
-        versions = ["metric_date", *(f.name for f in _VERSION)]
-        base = snapshots.join(F.broadcast(newest), versions, "left_semi")
+        versions = self._versions(days, up_to)
+        columns = PRODUCT_METRICS.names
         log = read_table(self.spark, self.log_path, PRODUCT_METRICS, [_METRIC_DATE, _BATCH], days)
-        pending = (
-            log.filter(F.col("batch_id") <= up_to)
-            .join(F.broadcast(newest.drop("run")), "metric_date", "left")
-            .filter(F.col("as_of").isNull() | (F.col("batch_id") > F.col("as_of")))
+        log = log.filter(F.col("batch_id") <= up_to)
+        if not versions:
+            return fold_metrics(log.select(*columns))
+        paths = [f"{self.snapshot_path}/{path}" for _, _, path in versions]
+        schema = T.StructType([*PRODUCT_METRICS.fields, *_VERSION])
+        reader = self.spark.read.schema(schema).option("basePath", self.snapshot_path)
+        base = reader.parquet(*paths)
+        # One row per stored day.
+        newest = self.spark.createDataFrame(
+            [(day, as_of) for day, as_of, _ in versions], "metric_date date, as_of long"
+        )
+        pending = log.join(newest, "metric_date", "left").filter(
+            F.col("as_of").isNull() | (F.col("batch_id") > F.col("as_of"))
         )
-        columns = PRODUCT_METRICS.names
         return fold_metrics(base.select(*columns).unionByName(pending.select(*columns)))
 
     def measures(self, days: Sequence[dt.date] | None = None) -> DataFrame:
@@ -177,57 +218,128 @@ class EventStore:
             span *= 2
         return latest_events(self.raw_events(), limit, event_type)
 
-    def _snapshots(self, days: Sequence[dt.date] | None, up_to: int) -> tuple[DataFrame, DataFrame]:
-        """Snapshot rows, and each day's newest version.
-
-        The versions are partition values: finding them reads no data columns, and there
-        is one row per stored day (a DATE has fewer than four million values), which
-        bounds what the reader broadcasts.
-        """
-        snapshots = read_table(
-            self.spark, self.snapshot_path, PRODUCT_METRICS, [_METRIC_DATE, *_VERSION], days
-        ).filter(F.col("as_of") <= up_to)
-        versions = snapshots.select("metric_date", "as_of", "run").distinct()
-        newest = versions.groupBy("metric_date").agg(F.max(F.struct("as_of", "run")).alias("v"))
-        return snapshots, newest.select("metric_date", "v.as_of", "v.run")
+    def _versions(
+        self, days: Sequence[dt.date] | None, up_to: int
+    ) -> list[tuple[dt.date, int, str]]:
+        """(day, as_of, folder) of each day's newest snapshot, from folder listings alone."""
+        wanted = None if days is None else {str(day) for day in days}
+        found = []
+        for day, day_path in partition_values(self.spark, self.snapshot_path):
+            if wanted is not None and day not in wanted:
+                continue
+            numbers = [int(v) for v, _ in partition_values(self.spark, day_path)]
+            as_of = max((n for n in numbers if n <= up_to), default=None)
+            if as_of is not None:
+                runs = partition_values(self.spark, f"{day_path}/as_of={as_of}")
+                run = max(int(v) for v, _ in runs)
+                folder = f"metric_date={day}/as_of={as_of}/run={run}"
+                found.append((dt.date.fromisoformat(day), as_of, folder))
+        return found
 
     # --- stream batches ----------------------------------------------------------
 
-    def land_batch(self, messages: DataFrame, number: int) -> None:
+    def land_batch(
+        self,
+        messages: DataFrame,
+        number: int,
+        horizon: dt.timedelta | None = None,
+        now: dt.datetime | None = None,
+    ) -> None:
         """Decode a batch, set rejects aside and keep one copy per id.
 
         Copies within the batch go here, at most one per id and task reaching the
-        shuffle; what the stateful step sees later holds no large group of copies.
+        shuffle; what the stateful step sees later holds no large group of copies. With a
+        horizon, events older than it are set apart as late and events more than
+        :data:`AHEAD` in the future are rejected: they would move event time on for all.
         """
-        tagged = tag_rejects(parse_events(messages)).withColumn("batch_id", F.lit(number))
+        for path in (self.landing_path, self.late_path, self.rejected_path, self.topic_log_path):
+            drop_path(self.spark, f"{path}/batch_id={number}")
+        parsed = parse_events(messages)
+        now = now or utc_now()
+        latest = None if horizon is None else now + AHEAD
+        tagged = tag_rejects(parsed, latest).withColumn("batch_id", F.lit(number))
         with _kept(tagged):
-            counts = tagged.agg(
-                F.count(F.lit(1)).alias("n"), F.count("reject_reason").alias("bad")
-            ).first()
-            if not counts.n:
+            # One row per topic partition.
+            seen = topic_counts(tagged, F.count("reject_reason").alias("bad")).collect()
+            if not seen:
                 return
-            seen = topic_counts(tagged).withColumn("batch_id", F.lit(number))
-            write_partitions(seen, self.topic_log_path, "batch_id")
-            if counts.n > counts.bad:
-                good = dedup(accepted(tagged)).withColumn("batch_id", F.lit(number))
-                write_partitions(good, self.landing_path, "batch_id")
-            if counts.bad:
+            counts = self.spark.createDataFrame([r[:-1] for r in seen], TOPIC_COUNTS)
+            counts = counts.withColumn("batch_id", F.lit(number)).coalesce(1)
+            write_partitions(counts, self.topic_log_path, "batch_id")
+            good = accepted(tagged)
+            if horizon is not None:
+                is_late = F.col("created_at") < ntz(now - horizon)
+                old = dedup(good.filter(is_late)).withColumn("batch_id", F.lit(number))
+                write_partitions(old, self.late_path, "batch_id")
+                good = good.filter(~is_late)
+            if sum(r.messages - r.bad for r in seen):
+                unique = dedup(good).withColumn("batch_id", F.lit(number))
+                write_partitions(unique, self.landing_path, "batch_id")
+            if sum(r.bad for r in seen):
                 bad = rejected(tagged).withColumn("batch_id", F.lit(number))
                 write_partitions(bad, self.rejected_path, "batch_id", rebalance=True)
 
-    def publish_batch(self, events: DataFrame, number: int) -> None:
-        """Write a batch of new events, then what they add to the metrics."""
+    def take_late(self, number: int) -> DataFrame | None:
+        """The late events that batch ``number`` publishes, if any.
+
+        Their folders move under its number, so that a repeated batch finds the same ones;
+        those of earlier batches, which are done, are deleted.
+        """
+        drop_partitions(self.spark, self.taken_path, lambda v: int(v) < number)
+        for batch, path in partition_values(self.spark, self.late_path):
+            target = f"{self.taken_path}/number={number}/batch_id={batch}"
+            drop_path(self.spark, target)
+            rename(self.spark, path, target)
+        taken = partition_values(self.spark, f"{self.taken_path}/number={number}")
+        if not taken:
+            return None
+        return dedup(self.spark.read.schema(RAW_EVENTS).parquet(*[path for _, path in taken]))
+
+    def new_late(self, late: DataFrame, number: int) -> DataFrame:
+        """Late events whose ids are not stored on their days yet."""
+        # Calendar days, from one column of a few rows.
+        days = [r[0] for r in late.select(F.to_date("created_at")).distinct().collect()]
+        stored = read_table(self.spark, self.raw_path, RAW_EVENTS, [EVENT_DATE, _BATCH], days)
+        return dedup(late, stored.filter(F.col("batch_id") != number))
+
+    def publish_batch(
+        self, events: DataFrame, number: int, late: DataFrame | None = None
+    ) -> None:
+        """Write a batch of new events, then what they add to the metrics.
+
+        Whatever an earlier attempt of the batch wrote is deleted first. The metrics are
+        computed from the rows as they were written.
+        """
+        last = self.last_committed()
+        if last is not None and number < last:
+            raise ValueError(f"batch {number} comes before batch {last}, which is committed")
         started = utc_now()
+        for path in (self.raw_path, self.log_path):
+            for _, day_path in partition_values(self.spark, path):
+                drop_path(self.spark, f"{day_path}/batch_id={number}")
+        if late is not None:
+            # A late copy may come beside the first one.
+            fresh = self.new_late(late, number).select(*RAW_EVENTS.names)
+            events = dedup(events.select(*RAW_EVENTS.names).unionByName(fresh))
         dated = events.select(
             *RAW_EVENTS.names,
             F.to_date("created_at").alias("event_date"),
             F.lit(number).cast("long").alias("batch_id"),
         )
-        with _kept(dated):
-            records = dated.count()
-            if records:
-                write_partitions(dated, self.raw_path, "event_date", "batch_id", rebalance=True)
-                added = product_metrics(dated).withColumn("batch_id", F.lit(number))
+        records = 0
+        with session_conf(events.sparkSession, BATCH_CONF):
+            write_partitions(dated, self.raw_path, "event_date", "batch_id", rebalance=True)
+            written = [
+                f"{path}/batch_id={number}"
+                for _, path in partition_values(self.spark, self.raw_path)
+                if table_exists(self.spark, f"{path}/batch_id={number}")
+            ]
+            if written:
+                schema = T.StructType([*RAW_EVENTS.fields, EVENT_DATE, _BATCH])
+                reader = self.spark.read.schema(schema).option("basePath", self.raw_path)
+                batch = reader.parquet(*written)
+                records = batch.count()
+                added = product_metrics(batch).withColumn("batch_id", F.lit(number))
                 write_partitions(added, self.log_path, "metric_date", "batch_id")
         self.record_run(
             run_id=f"{PUBLISH}-{number}",
@@ -238,6 +350,7 @@ class EventStore:
             records_processed=records,
             batch_id=number,
         )
+        put_marker(self.spark, self.committed_path, number)
 
     def clean_landing(self, below: int) -> int:
         """Delete landed batches with smaller numbers; returns how many there were."""
@@ -316,6 +429,12 @@ class EventStore:
         removed = 0
         for day, day_path in partition_values(self.spark, self.snapshot_path):
             newest = max(int(v) for v, _ in partition_values(self.spark, day_path))
+            # Recorded first: a read as of an earlier batch fails rather than misses rows.
+            put_marker(
+                self.spark,
+                self.vacuumed_path,
+                max(newest, marker(self.spark, self.vacuumed_path) or 0),
+            )
             removed += len(drop_partitions(self.spark, day_path, lambda v: int(v) < newest))
             runs_path = f"{day_path}/as_of={newest}"
             last = max(int(v) for v, _ in partition_values(self.spark, runs_path))
@@ -336,8 +455,54 @@ class EventStore:
 
     def prune(self, oldest_kept: dt.date) -> int:
         """Drop whole days of raw events before ``oldest_kept``; returns the row count."""
-        old = [day for day, _ in partition_values(self.spark, self.raw_path)]
-        old = [day for day in old if day < oldest_kept.isoformat()]
+        stored = [day for day, _ in partition_values(self.spark, self.raw_path)]
+        old = [day for day in stored if dt.date.fromisoformat(day) < oldest_kept]
         rows = self.raw_events(days=old).count()
         drop_partitions(self.spark, self.raw_path, lambda day: day in old)
         return rows
+
+    def compact_files(self, before: dt.date) -> int:
+        """Merge the folders and files of each day before ``before``: the committed batches of
+        its events into one, and its job runs; returns the number of days merged.
+
+        A day's merged folder is complete before the old ones go, and a run that was cut off
+        in between is finished by the next; run it while nothing else reads those days.
+        """
+        self.finish_compaction()
+        merged, last = 0, self.last_committed()
+        with session_conf(self.spark, BATCH_CONF):
+            for day, path in partition_values(self.spark, self.raw_path):
+                numbers = sorted(int(v) for v, _ in partition_values(self.spark, path))
+                numbers = [n for n in numbers if last is not None and n <= last]
+                if dt.date.fromisoformat(day) < before and len(numbers) > 1:
+                    parts = [f"{path}/batch_id={n}" for n in numbers]
+                    rows = self.spark.read.schema(RAW_EVENTS).parquet(*parts)
+                    self._stage(rows, f"raw_events/event_date={day}/batch_id={numbers[-1]}")
+                    merged += 1
+            for day, path in partition_values(self.spark, self.runs_path):
+                rows = self.spark.read.schema(JOB_RUNS).parquet(path)
+                if dt.date.fromisoformat(day) < before and len(rows.inputFiles()) > 1:
+                    self._stage(rows, f"job_runs/run_date={day}")
+                    merged += 1
+        return merged
+
+    def _stage(self, rows: DataFrame, folder: str) -> None:
+        staged = f"{self.compacting_path}/{folder}"
+        rows.hint("rebalance").write.mode("overwrite").parquet(staged)
+        self.finish_compaction()
+
+    def finish_compaction(self) -> None:
+        """Put merged folders in place of what they hold; drop unfinished ones."""
+        for table, key in (("raw_events", "event_date"), ("job_runs", "run_date")):
+            for day, staged in partition_values(self.spark, f"{self.compacting_path}/{table}"):
+                place = f"{self.root}/{table}/{key}={day}"
+                if table == "job_runs":
+                    if table_exists(self.spark, f"{staged}/_SUCCESS"):
+                        drop_path(self.spark, place)
+                        rename(self.spark, staged, place)
+                    continue
+                for number, folder in partition_values(self.spark, staged):
+                    if table_exists(self.spark, f"{folder}/_SUCCESS"):
+                        drop_partitions(self.spark, place, lambda v: int(v) <= int(number))
+                        rename(self.spark, folder, f"{place}/batch_id={number}")
+        drop_path(self.spark, self.compacting_path)

@@ -1,8 +1,10 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from clickfold.functions.clock import parse_instant
 from clickfold.operators import quality, retention, routing
 from clickfold.operators.ingest import dedup, parse_events, split_valid
 from clickfold.schemas import (
@@ -167,6 +169,37 @@ def test_retention_boundary(spark):
     ]
     df = events_df(spark, rows)
     assert {r.event_id for r in retention.retain(df, cutoff).collect()} == {"at", "after", "timeless"}
-    assert [r.event_id for r in retention.expired(df, cutoff).collect()] == ["before"]
     assert tuple(retention.retention_counts(df, cutoff).first()) == (1, 3)
     assert retention.default_cutoff(T0) == dt.datetime(2025, 12, 1)
+
+
+@pytest.mark.parametrize(
+    ("text", "at"),
+    [
+        ("2026-03-01T12:30:00Z", "2026-03-01 12:30:00"),
+        ("2026-03-01 12:30:00.25", "2026-03-01 12:30:00.25"),
+        ("2026-03-01T12:30:00+02:00", "2026-03-01 10:30:00"),
+        ("0001-01-01T00:00:00Z", "0001-01-01 00:00:00"),
+        ("9999-12-31T23:59:59.999999Z", "9999-12-31 23:59:59.999999"),
+        ("9999-12-31T23:59:59-02:00", None),
+        ("0000-01-01T00:00:00Z", None),
+        ("+12345-01-01T00:00:00Z", None),
+        ("12345-01-01T00:00:00Z", None),
+        ("12:30:00", None),
+        ("2026", None),
+        ("2026-03", None),
+        ("2026-03-01", None),
+        ("2026-02-30T00:00:00Z", None),
+        ("2026-03-01T25:00:00Z", None),
+        ("2026-03-01T12:30:00 Europe/Berlin", None),
+        ("now", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_only_whole_times_are_times(spark, text, at):
+    got = spark.createDataFrame([(text,)], "t string").select(parse_instant(F.col("t")).alias("at"))
+    if at is not None:
+        assert got.first().at == dt.datetime.fromisoformat(at)
+    else:
+        assert got.first().at is None
