@@ -9,8 +9,9 @@ from clickfold.operators import funnels, products, serving
 from clickfold.operators.ingest import dedup, parse_events, split_valid
 from clickfold.operators.measures import measure
 from clickfold.operators.staging import on_day, stage
+from clickfold.plans import catalog
 from clickfold.plans.catalog import QUERIES
-from clickfold.sources.star_events import bare_events, read
+from clickfold.sources.star_events import bare_events, read, with_products
 from tests.conftest import SF_DIR
 from tests.rows import event, events_df, messages_df
 
@@ -91,7 +92,16 @@ def test_messages_are_decoded_once(spark):
     assert plan(bad).count("from_json") == 1
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("stream", "mart"))])
+def test_marts_look_names_up_after_aggregating(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "with_products", lambda df, *a: seen.append(df) or with_products(df, *a))
+    QUERIES["mart_product_metrics_daily"](spark, SF_DIR)
+    (aggregated,) = seen
+    events = read(spark, SF_DIR, "events").count()
+    assert "HashAggregate" in plan(aggregated) and aggregated.count() < events / 2
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_python_and_no_unkeyed_joins(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
