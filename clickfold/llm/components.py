@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from clickfold.llm.scratch import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    # Stored, so that Spark can split the join where one node has very many edges.
+    least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")), name)
     joined = both.join(least, "u").filter(F.col("v") > F.col("u"))
     return joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
@@ -45,6 +46,7 @@ def component_roots(edges: DataFrame, scratch: Scratch) -> DataFrame:
                 current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         mark, turn = (seen.n, seen.h), turn + 1
-        down = _small_star(_large_star(current)).filter("u != v").distinct()
-        current = scratch.put(down, f"edges-{turn}")
+        large = _large_star(current, scratch, f"least-{turn}")
+        current = scratch.put(_small_star(large).filter("u != v").distinct(), f"edges-{turn}")
         scratch.drop(f"edges-{turn - 1}")
+        scratch.drop(f"least-{turn}")
