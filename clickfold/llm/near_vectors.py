@@ -159,52 +159,62 @@ def _linked(hasher: CrossPolytope, cosine: float):
     """From rows sorted by (key, pair): for each vector that finds partners, its group's root
     and how many vectors the partners stand for. Every pair counts where it first meets."""
 
-    def of_run(run: pd.DataFrame) -> pd.DataFrame | None:
-        if len(run) < 2 or not run["own"].any():
-            return None
-        run = run.sort_values(["own", "id"], ascending=[False, True], ignore_index=True)
-        key, x = int(run["key"].iloc[0]), _unit(run["v"])
-        ids, sizes = run["id"].to_numpy(), run["size"].to_numpy()
-        owns, block = int(run["own"].sum()), run["block"].to_numpy()
-        high, low = divmod(int(run["pair"].iloc[0]), 1 << PAIR_BITS)
-        crossing = high != low
+    def of_run(key, pair, own, block, ids, sizes, x) -> tuple[np.ndarray, ...] | None:
+        order = np.lexsort((ids, ~own))
+        block, ids, sizes, x = block[order], ids[order], sizes[order], x[order]
+        high, low = divmod(int(pair[0]), 1 << PAIR_BITS)
+        owns = int(own.sum())
         asked = None
-        found = np.zeros(len(run), np.int64)
-        root = np.arange(len(run))
+        found = np.zeros(len(ids), np.int64)
+        root = np.arange(len(ids))
         for start in range(0, owns, STRIP):
             strip = slice(start, min(owns, start + STRIP))
             i, j = np.nonzero(x[strip] @ x.T >= cosine)
             i = i + start
-            wanted = (j > i) & (ids[i] != ids[j])
-            if crossing:
+            wanted = j > i
+            if not wanted.any():
+                continue
+            if high != low:
                 wanted &= block[i] != block[j]
             i, j = i[wanted], j[wanted]
-            if not len(i):
-                continue
             if asked is None:
                 asked = hasher.buckets(x)
-            first = _first_meeting(asked[i], asked[j], ids[i] < ids[j]) == key
+            first = _first_meeting(asked[i], asked[j], ids[i] < ids[j]) == key[0]
             i, j = i[first], j[first]
             np.add.at(found, i, sizes[j])
             np.add.at(found, j, sizes[i])
             _join(root, i, j)
         met = np.flatnonzero(found)
-        return pd.DataFrame({"id": ids[met], "root": ids[root[met]], "found": found[met]})
+        return (ids[met], ids[root[met]], found[met]) if len(met) else None
+
+    def of_runs(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        # Most runs are one vector, or hold none of their own bucket.
+        owns = np.add.reduceat(columns[2].astype(np.int64), starts)
+        made = [
+            got
+            for start, end in zip(*(x[(ends - starts > 1) & (owns > 0)] for x in (starts, ends)))
+            if (got := of_run(*(c[start:end] for c in columns))) is not None
+        ]
+        out = [np.concatenate(c) for c in zip(*made)] or [np.zeros(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("id", "root", "found"), out)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("key", "pair", "own", "block", "id", "size")
         kept = None
         for batch in batches:
-            batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
             if not len(batch):
                 continue
-            key, pair = batch["key"].to_numpy(), batch["pair"].to_numpy()
+            columns = [*(batch[c].to_numpy() for c in names), _unit(batch["v"])]
+            if kept is not None:
+                columns = [np.concatenate(x) for x in zip(kept, columns)]
+            key, pair = columns[:2]
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-            for start, end in zip(starts[:-1], starts[1:]):
-                if end - start > 1 and (made := of_run(batch.iloc[start:end])) is not None:
-                    yield made
-            kept = batch.iloc[starts[-1] :]
-        if kept is not None and (made := of_run(kept)) is not None:
-            yield made
+            if len(starts) > 1:
+                yield of_runs(columns, starts[:-1], starts[1:])
+            # The last run may go on in the next batch.
+            kept = [c[starts[-1] :] for c in columns]
+        if kept is not None:
+            yield of_runs(kept, np.array([0]), np.array([len(kept[0])]))
 
     return run
 
