@@ -378,13 +378,13 @@ def run_summary_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 class _ReplayingStore(EventStore):
     """Runs every batch twice, as after a crash just before the batch was committed."""
 
-    def land_batch(self, messages: DataFrame, number: int) -> None:
-        super().land_batch(messages, number)
-        super().land_batch(messages, number)
+    def land_batch(self, *args, **options) -> None:
+        super().land_batch(*args, **options)
+        super().land_batch(*args, **options)
 
-    def publish_batch(self, events: DataFrame, number: int) -> None:
-        super().publish_batch(events, number)
-        super().publish_batch(events, number)
+    def publish_batch(self, *args, **options) -> None:
+        super().publish_batch(*args, **options)
+        super().publish_batch(*args, **options)
 
 
 def _quarters(spark: SparkSession, path: str) -> dict[str, str]:
