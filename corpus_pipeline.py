@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.llm import exact_dedup, near_texts, packing, quality, secrets
+from clickfold.llm import exact_dedup, packing, quality, secrets, simhash
 from clickfold.llm.scratch import Scratch
 
 
@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays: 5-word shingles, Jaccard 0.8 or more."""
-    return near_texts.drop_near(docs)
+    """One document of each group of fingerprints within 3 bits stays: 3-word shingles, as op9."""
+    return simhash.drop_near(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
