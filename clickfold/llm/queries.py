@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from clickfold.llm import (
     byte_bpe,
+    centroids,
     exact_dedup,
+    hard_negatives,
     html_text,
     licenses,
     near_vectors,
@@ -21,6 +23,7 @@ from clickfold.llm import (
     secrets,
     simhash,
     url_filter,
+    warc_files,
 )
 
 URL_RULES = (
@@ -92,6 +95,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_files.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 OP10_SQL = r"""
 WITH plain AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -119,6 +137,9 @@ LLM_QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_warc": op12_warc,
+    "op13_centroids": op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -126,6 +147,9 @@ LLM_QUERIES = {
 LLM_ORACLES = {
     "op1_license_scan": licenses.SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_warc": warc_files.SQL,
+    "op13_centroids": centroids.SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
