@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -420,22 +421,32 @@ STORE_NOW = dt.datetime(2024, 1, 31)
 STORE_HORIZON = dt.timedelta(days=14)
 
 
+def _publish_part(store: EventStore, messages: DataFrame, number: int) -> None:
+    """Land and publish the messages that belong to a batch, the copies of an event being in
+    different ones."""
+    part = F.pmod(F.col("offset") + (F.col("topic") != MAIN_TOPIC).cast("int"), F.lit(STORE_BATCHES))
+    store.land_batch(messages.filter(part == number), number, STORE_HORIZON, STORE_NOW)
+    landed = read_table(
+        store.spark,
+        store.landing_path,
+        RAW_EVENTS,
+        [T.StructField("batch_id", T.LongType())],
+        [number],
+    )
+    events = dedup(landed, store.raw_events(number - 1))
+    store.publish_batch(events, number, store.take_late(number))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> EventStore:
-    """A store filled by batches, the copies of an event in different ones, half of the days
-    late, then compacted: what production reads. Built once per session and folder."""
+    """A store filled by batches, half of the days late, then compacted: what production reads.
+    Built once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _STORED:
         return _STORED[key]
     store = EventStore(spark, scratch_dir(spark, "store"))
     messages = _messages(raw_events(spark, sf_dir))
-    part = F.pmod(F.col("offset") + (F.col("topic") != MAIN_TOPIC).cast("int"), F.lit(STORE_BATCHES))
     for number in range(STORE_BATCHES):
-        store.land_batch(messages.filter(part == number), number, STORE_HORIZON, STORE_NOW)
-        landed = read_table(
-            spark, store.landing_path, RAW_EVENTS, [T.StructField("batch_id", T.LongType())], [number]
-        )
-        events = dedup(landed, store.raw_events())
-        store.publish_batch(events, number, store.take_late(number))
+        _publish_part(store, messages, number)
     metrics = [day for day, _ in partition_values(spark, store.log_path)]
     store.compact([dt.date.fromisoformat(day) for day in metrics])
     store.vacuum()
@@ -444,6 +455,32 @@ def _stored(spark: SparkSession, sf_dir: str) -> EventStore:
     return store
 
 
+def store_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after a compaction and a repeat of the last batch by a new process, as after a
+    crash between the store's commit and Spark's."""
+    root = scratch_dir(spark, "repeated")
+    messages = _messages(raw_events(spark, sf_dir))
+    store = EventStore(spark, root)
+    for number in range(STORE_BATCHES):
+        _publish_part(store, messages, number)
+    store.compact_files(dt.date(9999, 12, 31))
+    restarted = EventStore(spark, root)
+    _publish_part(restarted, messages, STORE_BATCHES - 1)
+    return _stored_events(restarted)
+
+
+def store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as of each batch, read from compacted days."""
+    store = _stored(spark, sf_dir)
+    versions = [
+        store.raw_events(number).select(
+            F.lit(number).alias("as_of"), "event_id", "event_type", "event_date"
+        )
+        for number in range(STORE_BATCHES)
+    ]
+    return reduce(DataFrame.unionByName, versions)
+
+
 def store_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_events(_stored(spark, sf_dir))
 
@@ -574,6 +611,8 @@ QUERIES: dict[str, Query] = {
     "stream_product_metrics": stream_product_metrics,
     "stream_replay": stream_replay,
     "store_raw": store_raw,
+    "store_repeated": store_repeated,
+    "store_as_of": store_as_of,
     "store_metrics": store_metrics,
     "store_kpis": store_kpis,
     "store_top_products": store_top_products,

@@ -166,7 +166,6 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
         )
         messages = read_event_stream(spark, options)
         horizon = None if args.horizon_days is None else dt.timedelta(days=args.horizon_days)
-        store.finish_compaction()
         start_landing(messages, store, land_at, args.every, args.first_landing, horizon)
         publishing = start_publishing(
             store,

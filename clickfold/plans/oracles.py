@@ -352,6 +352,18 @@ _STREAMED = f"SELECT * REPLACE (CAST(product_id AS VARCHAR) AS product_id) FROM
 ORACLES["stream_product_metrics"] = _STREAMED
 ORACLES["stream_replay"] = _STREAMED
 ORACLES["store_raw"] = ORACLES["stream_raw"]
+ORACLES["store_repeated"] = ORACLES["stream_raw"]
+ORACLES["store_as_of"] = f"""
+WITH batches AS (
+  SELECT event_id, event_type, event_date,
+         CASE WHEN event_type IN ('CLICK', 'PURCHASE')
+              THEN least(CAST(event_id AS BIGINT) % 3, (CAST(event_id AS BIGINT) + 1) % 3)
+              ELSE CAST(event_id AS BIGINT) % 3 END AS batch
+  FROM ({ORACLES["stream_raw"]})
+)
+SELECT CAST(k AS INTEGER) AS as_of, event_id, event_type, event_date
+FROM batches JOIN (SELECT unnest([0, 1, 2]) AS k) ON batch <= k
+"""
 ORACLES["store_metrics"] = _STREAMED
 ORACLES["store_kpis"] = ORACLES["kpi_totals"]
 ORACLES["store_top_products"] = ORACLES["top_products_8"]

@@ -70,21 +70,46 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in place in one step: readers see the old, the new or none."""
+    fs, hadoop_path = _filesystem(spark, path)
+    unfinished = _filesystem(spark, f"{hadoop_path.getParent().toString()}/_{hadoop_path.getName()}")[1]
+    stream = fs.create(unfinished, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    fs.delete(hadoop_path, False)
+    if not fs.rename(unfinished, hadoop_path):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, read by the driver."""
+    fs, hadoop_path = _filesystem(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def put_marker(spark: SparkSession, folder: str, number: int) -> None:
     """Record a number as the name of an empty file, then forget the smaller ones."""
     fs, path = _filesystem(spark, f"{folder}/{number}")
     fs.create(path, True).close()
-    for old, location in _markers(spark, folder):
+    for old, location in marked(spark, folder):
         if old < number:
             drop_path(spark, location)
 
 
 def marker(spark: SparkSession, folder: str) -> int | None:
     """The newest number recorded in a folder."""
-    return max((number for number, _ in _markers(spark, folder)), default=None)
+    return max((number for number, _ in marked(spark, folder)), default=None)
 
 
-def _markers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+def marked(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, path) of the files in a folder that are named by numbers."""
     if not table_exists(spark, folder):
         return []
     fs, path = _filesystem(spark, folder)

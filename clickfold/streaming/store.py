@@ -7,6 +7,8 @@ landing        batch_id                   valid events, one per id within a batc
 late           batch_id                   the same, older than the horizon
 rejected       batch_id                   messages set aside, with the reason
 raw_events     event_date, batch_id       events, one per id over all batches
+raw_merged     event_date, merged         the same after compaction, with their batch numbers
+manifests      event_date                 which merged folder and which batches of it count
 metric_log     metric_date, batch_id      what one batch adds to (date, product)
 snapshots      metric_date, as_of, run    a day's metrics, complete up to batch as_of
 funnel         metric_date                one funnel row per day
@@ -29,6 +31,7 @@ import datetime as dt
 import time
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +61,7 @@ from clickfold.sources.tables import (
     EVENT_DATE,
     drop_partitions,
     drop_path,
+    marked,
     marker,
     partition_values,
     put_marker,
@@ -66,6 +70,12 @@ from clickfold.sources.tables import (
     table_exists,
     write_partitions,
 )
+from clickfold.streaming.manifests import (
+    Manifest,
+    read_manifest,
+    read_manifests,
+    write_manifest,
+)
 
 PUBLISH = "publish"
 #: How far ahead of the clock an event may be where a horizon bounds the state.
@@ -97,6 +107,8 @@ class EventStore:
         self.landing_path = f"{self.root}/landing"
         self.rejected_path = f"{self.root}/rejected"
         self.raw_path = f"{self.root}/raw_events"
+        self.merged_path = f"{self.root}/raw_merged"
+        self.manifest_path = f"{self.root}/manifests"
         self.log_path = f"{self.root}/metric_log"
         self.snapshot_path = f"{self.root}/snapshots"
         self.funnel_path = f"{self.root}/funnel"
@@ -118,13 +130,67 @@ class EventStore:
     def raw_events(
         self, up_to: int | None = None, days: Sequence[dt.date | str] | None = None
     ) -> DataFrame:
-        """Events of the batches up to a number, by default of all committed batches."""
+        """Events of the batches up to a number, by default of all committed batches, whether
+        their days were compacted or not."""
+        schema = T.StructType([*RAW_EVENTS.fields, EVENT_DATE, _BATCH])
         up_to = self.last_committed() if up_to is None else up_to
         if up_to is None:
-            schema = T.StructType([*RAW_EVENTS.fields, EVENT_DATE, _BATCH])
             return self.spark.createDataFrame([], schema)
-        raw = read_table(self.spark, self.raw_path, RAW_EVENTS, [EVENT_DATE, _BATCH], days)
-        return raw.filter(F.col("batch_id") <= up_to)
+        until = F.col("batch_id") <= up_to
+        manifests = self._manifests(days)
+        if not manifests:
+            raw = read_table(self.spark, self.raw_path, RAW_EVENTS, [EVENT_DATE, _BATCH], days)
+            return raw.filter(until)
+        parts = [self._merged_rows(manifests)]
+        folders = self._unmerged(manifests, days)
+        if folders:
+            reader = self.spark.read.schema(schema).option("basePath", self.raw_path)
+            parts.append(reader.parquet(*folders))
+        return reduce(DataFrame.unionByName, parts).filter(until)
+
+    def raw_days(self) -> list[str]:
+        """Days that may hold events, oldest first."""
+        paths = (self.raw_path, self.merged_path)
+        return sorted({day for path in paths for day, _ in partition_values(self.spark, path)})
+
+    def _manifests(self, days: Sequence[dt.date | str] | None = None) -> dict[str, Manifest]:
+        if days is None:
+            found = read_manifests(self.spark, self.manifest_path)
+        else:
+            names = sorted({str(day) for day in days})
+            found = (read_manifest(self.spark, self.manifest_path, day) for day in names)
+        return {manifest.day: manifest for manifest in found if manifest is not None}
+
+    def _merged_rows(self, manifests: dict[str, Manifest]) -> DataFrame:
+        """Rows of the days' merged folders, without those of withdrawn batches."""
+        merged = T.StructField("merged", T.LongType())
+        schema = T.StructType([*RAW_EVENTS.fields, _BATCH, EVENT_DATE, merged])
+        reader = self.spark.read.schema(schema).option("basePath", self.merged_path)
+        rows = reader.parquet(*[f"{self.merged_path}/{m.folder}" for m in manifests.values()])
+        # Only repeated batches are withdrawn, and those until the next compaction.
+        for manifest in manifests.values():
+            if manifest.withdrawn:
+                day = F.lit(manifest.day).cast("date")
+                gone = F.col("batch_id").isin(*manifest.withdrawn)
+                rows = rows.filter(~((F.col("event_date") == day) & gone))
+        return rows.drop("merged").select(*RAW_EVENTS.names, "event_date", "batch_id")
+
+    def _unmerged(
+        self, manifests: dict[str, Manifest], days: Sequence[dt.date | str] | None
+    ) -> list[str]:
+        """Folders with rows that no manifest covers: whole days, or batches of a merged day."""
+        wanted = None if days is None else {str(day) for day in days}
+        found = []
+        for day, path in partition_values(self.spark, self.raw_path):
+            if wanted is not None and day not in wanted:
+                continue
+            if day in manifests:
+                covered = manifests[day].batches
+                batches = partition_values(self.spark, path)
+                found += [folder for n, folder in batches if int(n) not in covered]
+            else:
+                found.append(path)
+        return found
 
     def job_runs(self, days: Sequence[dt.date | str] | None = None) -> DataFrame:
         return read_table(self.spark, self.runs_path, JOB_RUNS, [_RUN_DATE], days)
@@ -209,7 +275,7 @@ class EventStore:
 
     def latest_events(self, limit: int = 50, event_type: str = "ALL") -> DataFrame:
         """The newest events, reading only as many of the newest days as hold ``limit``."""
-        days = [day for day, _ in reversed(partition_values(self.spark, self.raw_path))]
+        days = self.raw_days()[::-1]
         span = 1
         while span < len(days):
             recent = of_type(self.raw_events(days=days[:span]), event_type)
@@ -275,10 +341,22 @@ class EventStore:
             if sum(r.messages - r.bad for r in seen):
                 unique = dedup(good).withColumn("batch_id", F.lit(number))
                 write_partitions(unique, self.landing_path, "batch_id")
+            if self._only_late(number):
+                # An empty file starts a published batch, which takes the late events.
+                empty = self.spark.createDataFrame([], RAW_EVENTS)
+                empty.write.parquet(f"{self.landing_path}/batch_id={number}")
             if sum(r.bad for r in seen):
                 bad = rejected(tagged).withColumn("batch_id", F.lit(number))
                 write_partitions(bad, self.rejected_path, "batch_id", rebalance=True)
 
+    def _only_late(self, number: int) -> bool:
+        """Whether a landed batch has late events and no others."""
+        late, landed = (
+            table_exists(self.spark, f"{path}/batch_id={number}")
+            for path in (self.late_path, self.landing_path)
+        )
+        return late and not landed
+
     def take_late(self, number: int) -> DataFrame | None:
         """The late events that batch ``number`` publishes, if any.
 
@@ -299,8 +377,8 @@ class EventStore:
         """Late events whose ids are not stored on their days yet."""
         # Calendar days, from one column of a few rows.
         days = [r[0] for r in late.select(F.to_date("created_at")).distinct().collect()]
-        stored = read_table(self.spark, self.raw_path, RAW_EVENTS, [EVENT_DATE, _BATCH], days)
-        return dedup(late, stored.filter(F.col("batch_id") != number))
+        stored = self.raw_events(number - 1, days)
+        return dedup(late, stored)
 
     def publish_batch(
         self, events: DataFrame, number: int, late: DataFrame | None = None
@@ -314,6 +392,8 @@ class EventStore:
         if last is not None and number < last:
             raise ValueError(f"batch {number} comes before batch {last}, which is committed")
         started = utc_now()
+        if number == last:
+            self._withdraw(number)
         for path in (self.raw_path, self.log_path):
             for _, day_path in partition_values(self.spark, path):
                 drop_path(self.spark, f"{day_path}/batch_id={number}")
@@ -352,6 +432,12 @@ class EventStore:
         )
         put_marker(self.spark, self.committed_path, number)
 
+    def _withdraw(self, number: int) -> None:
+        """Take a batch that is repeated out of the merged days; the rest of them stays."""
+        for manifest in read_manifests(self.spark, self.manifest_path):
+            if number in manifest.batches:
+                write_manifest(self.spark, self.manifest_path, manifest.without(number))
+
     def clean_landing(self, below: int) -> int:
         """Delete landed batches with smaller numbers; returns how many there were."""
         drop = drop_partitions(self.spark, self.landing_path, lambda v: int(v) < below)
@@ -455,54 +541,77 @@ class EventStore:
 
     def prune(self, oldest_kept: dt.date) -> int:
         """Drop whole days of raw events before ``oldest_kept``; returns the row count."""
-        stored = [day for day, _ in partition_values(self.spark, self.raw_path)]
-        old = [day for day in stored if dt.date.fromisoformat(day) < oldest_kept]
+        old = [day for day in self.raw_days() if dt.date.fromisoformat(day) < oldest_kept]
         rows = self.raw_events(days=old).count()
-        drop_partitions(self.spark, self.raw_path, lambda day: day in old)
+        for path in (self.manifest_path, self.merged_path, self.raw_path):
+            drop_partitions(self.spark, path, lambda day: day in old)
         return rows
 
     def compact_files(self, before: dt.date) -> int:
         """Merge the folders and files of each day before ``before``: the committed batches of
         its events into one, and its job runs; returns the number of days merged.
 
-        A day's merged folder is complete before the old ones go, and a run that was cut off
-        in between is finished by the next; run it while nothing else reads those days.
+        Merged events keep their batch numbers. A day changes over with its manifest, after
+        which the folders it covers go; a run that was cut off is finished by the next. Run it
+        while nothing else reads those days.
         """
         self.finish_compaction()
         merged, last = 0, self.last_committed()
         with session_conf(self.spark, BATCH_CONF):
             for day, path in partition_values(self.spark, self.raw_path):
-                numbers = sorted(int(v) for v, _ in partition_values(self.spark, path))
-                numbers = [n for n in numbers if last is not None and n <= last]
-                if dt.date.fromisoformat(day) < before and len(numbers) > 1:
-                    parts = [f"{path}/batch_id={n}" for n in numbers]
-                    rows = self.spark.read.schema(RAW_EVENTS).parquet(*parts)
-                    self._stage(rows, f"raw_events/event_date={day}/batch_id={numbers[-1]}")
-                    merged += 1
+                if last is None or dt.date.fromisoformat(day) >= before:
+                    continue
+                merged += self._compact_day(day, path, last)
             for day, path in partition_values(self.spark, self.runs_path):
                 rows = self.spark.read.schema(JOB_RUNS).parquet(path)
                 if dt.date.fromisoformat(day) < before and len(rows.inputFiles()) > 1:
-                    self._stage(rows, f"job_runs/run_date={day}")
+                    staged = f"{self.compacting_path}/job_runs/run_date={day}"
+                    rows.hint("rebalance").write.mode("overwrite").parquet(staged)
+                    self.finish_compaction()
                     merged += 1
         return merged
 
-    def _stage(self, rows: DataFrame, folder: str) -> None:
-        staged = f"{self.compacting_path}/{folder}"
-        rows.hint("rebalance").write.mode("overwrite").parquet(staged)
-        self.finish_compaction()
+    def _compact_day(self, day: str, path: str, last: int) -> bool:
+        old = read_manifest(self.spark, self.manifest_path, day)
+        covered = () if old is None else old.batches
+        fresh = [int(n) for n, _ in partition_values(self.spark, path) if int(n) <= last]
+        fresh = [n for n in fresh if n not in covered]
+        if not fresh or (old is None and len(fresh) == 1):
+            return False
+        generation = 1 if old is None else old.generation + 1
+        new = Manifest(day, generation, generation, tuple(sorted({*covered, *fresh})))
+        rows = self.raw_events(last, [day]).drop("event_date")
+        folder = f"{self.merged_path}/{new.folder}"
+        rows.hint("rebalance").write.mode("overwrite").parquet(folder)
+        # Another run may have cleaned up meanwhile.
+        if not table_exists(self.spark, f"{folder}/_SUCCESS"):
+            raise OSError(f"{folder} was deleted while it was written")
+        write_manifest(self.spark, self.manifest_path, new)
+        self._drop_covered(new)
+        return True
+
+    def _drop_covered(self, manifest: Manifest) -> None:
+        """Delete what a day's manifest replaces: batch folders, merged folders, manifests."""
+        day = f"event_date={manifest.day}"
+        covered = set(manifest.batches)
+        drop_partitions(self.spark, f"{self.raw_path}/{day}", lambda v: int(v) in covered)
+        drop_partitions(
+            self.spark, f"{self.merged_path}/{day}", lambda v: int(v) != manifest.merged
+        )
+        for generation, path in marked(self.spark, f"{self.manifest_path}/{day}"):
+            if generation < manifest.generation:
+                drop_path(self.spark, path)
 
     def finish_compaction(self) -> None:
-        """Put merged folders in place of what they hold; drop unfinished ones."""
-        for table, key in (("raw_events", "event_date"), ("job_runs", "run_date")):
-            for day, staged in partition_values(self.spark, f"{self.compacting_path}/{table}"):
-                place = f"{self.root}/{table}/{key}={day}"
-                if table == "job_runs":
-                    if table_exists(self.spark, f"{staged}/_SUCCESS"):
-                        drop_path(self.spark, place)
-                        rename(self.spark, staged, place)
-                    continue
-                for number, folder in partition_values(self.spark, staged):
-                    if table_exists(self.spark, f"{folder}/_SUCCESS"):
-                        drop_partitions(self.spark, place, lambda v: int(v) <= int(number))
-                        rename(self.spark, folder, f"{place}/batch_id={number}")
+        """Delete what merged days replace and merged folders that were never finished; put
+        merged job runs in place."""
+        finished = self._manifests()
+        for manifest in finished.values():
+            self._drop_covered(manifest)
+        drop_partitions(self.spark, self.merged_path, lambda day: day not in finished)
+        for day, staged in partition_values(self.spark, f"{self.compacting_path}/job_runs"):
+            if table_exists(self.spark, f"{staged}/_SUCCESS"):
+                place = f"{self.runs_path}/run_date={day}"
+                drop_path(self.spark, place)
+                rename(self.spark, staged, place)
         drop_path(self.spark, self.compacting_path)

@@ -293,11 +293,14 @@ def test_files_do_not_grow_with_batches(spark, store, root):
         store.publish_batch(good.filter(F.col("kafka_offset") % 8 == i), i)
     raw, metrics = ordered(store.raw_events().drop("batch_id")), ordered(store.product_metrics())
     assert store.compact_files(dt.date(2026, 3, 2)) == 1
-    assert len(list(Path(store.raw_path).glob("event_date=2026-03-01/*"))) == 1
+    assert len(list(Path(store.raw_path).glob("event_date=2026-03-01/*"))) == 0
+    assert len(list(Path(store.merged_path).glob("event_date=2026-03-01/*"))) == 1
     assert len(list(Path(store.raw_path).glob("event_date=2026-03-02/*"))) == 4
     tomorrow = dt.date.today() + dt.timedelta(days=2)
     assert store.compact_files(tomorrow) == 2
-    assert len(list(Path(store.raw_path).glob("*/*/*.parquet"))) == 2
+    assert not list(Path(store.raw_path).glob("*/*/*.parquet"))
+    assert len(list(Path(store.merged_path).glob("*/*/*.parquet"))) == 2
+    assert len(list(Path(store.manifest_path).glob("*/[0-9]*"))) == 2
     assert len(list(Path(store.runs_path).glob("*/*.parquet"))) == 1
     assert ordered(store.raw_events().drop("batch_id")) == raw
     assert ordered(store.product_metrics()) == metrics
@@ -305,22 +308,102 @@ def test_files_do_not_grow_with_batches(spark, store, root):
     assert len(list(Path(store.committed_path).glob("[0-9]*"))) == 1
 
 
-def test_interrupted_compaction_is_finished(spark, store):
-    values = [wire(f"e{i}") for i in range(6)]
-    good = split_valid(parse_events(messages_df(spark, values)))[0].persist()
-    for i in range(3):
-        store.publish_batch(good.filter(F.col("kafka_offset") % 3 == i), i)
-    day = Path(store.raw_path) / f"event_date={T0.date()}"
-    staged = Path(store.compacting_path) / f"raw_events/event_date={T0.date()}/batch_id=2"
-    store.raw_events().drop("event_date", "batch_id").write.parquet(str(staged))
-    # Cut off after the old folders went, then a merge that never got complete.
-    for part in day.iterdir():
-        part.rename(Path(store.root).parent / f"gone-{part.name}")
+def _batches(spark, store, *batches):
+    """Publish batches of (id, time) events; returns a function that publishes one of them."""
+
+    def publish(number):
+        values = [wire(i, timestamp=at) for i, at in batches[number]]
+        store.publish_batch(split_valid(parse_events(messages_df(spark, values)))[0], number)
+
+    for number in range(len(batches)):
+        publish(number)
+    return publish
+
+
+def ids(df):
+    return sorted(r.event_id for r in df.collect())
+
+
+ONE, TWO = "2026-03-01T10:00:00Z", "2026-03-02T10:00:00Z"
+
+
+def test_interrupted_compaction_is_finished(spark, store, monkeypatch):
+    _batches(spark, store, [("a", ONE)], [("b", ONE)], [("c", ONE)])
+    drop = EventStore._drop_covered
+    monkeypatch.setattr(EventStore, "_drop_covered", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.compact_files(dt.date(2026, 3, 2))
+    # The old folders are still there beside the merged one, and do not count.
+    assert len(list(Path(store.raw_path).glob("*/batch_id=*"))) == 3
+    assert ids(store.raw_events()) == ["a", "b", "c"]
+    monkeypatch.setattr(EventStore, "_drop_covered", drop)
     store.finish_compaction()
-    assert store.raw_events().count() == 6
-    staged.mkdir(parents=True)
+    assert not list(Path(store.raw_path).glob("*/batch_id=*"))
+    assert ids(store.raw_events()) == ["a", "b", "c"]
+    # Merged rows whose manifest was never written are no part of the table.
+    unfinished = Path(store.merged_path) / "event_date=2026-03-02/merged=1"
+    store.raw_events().drop("event_date").write.parquet(str(unfinished))
+    assert ids(store.raw_events()) == ["a", "b", "c"]
     store.finish_compaction()
-    assert store.raw_events().count() == 6 and not Path(store.compacting_path).exists()
+    assert not unfinished.exists() and ids(store.raw_events()) == ["a", "b", "c"]
+
+
+def test_repeat_after_compaction_keeps_the_other_batches(spark, store):
+    publish = _batches(spark, store, [("a", ONE), ("b", ONE)], [("c", ONE), ("d", TWO)])
+    assert store.compact_files(dt.date(2026, 3, 5)) == 1
+    for _ in range(2):
+        publish(1)
+        assert ids(store.raw_events()) == ["a", "b", "c", "d"]
+        assert [r.total_views for r in store.product_metrics().collect()] == [3, 1]
+    # The next compaction takes the repeated batch in again.
+    assert store.compact_files(dt.date(2026, 3, 5)) == 1
+    assert ids(store.raw_events()) == ["a", "b", "c", "d"]
+    assert ids(store.raw_events(0)) == ["a", "b"]
+    assert len(list(Path(store.merged_path).glob("event_date=2026-03-01/*"))) == 1
+
+
+def test_reads_as_of_a_batch_after_compaction(spark, store):
+    publish = _batches(spark, store, [("a", ONE)], [("b", ONE), ("x", TWO)], [("c", ONE)])
+    before = [ids(store.raw_events(k)) for k in (0, 1, 2)]
+    assert before == [["a"], ["a", "b", "x"], ["a", "b", "c", "x"]]
+    store.compact_files(dt.date(2026, 3, 5))
+    assert [ids(store.raw_events(k)) for k in (0, 1, 2)] == before
+    publish(2)
+    assert [ids(store.raw_events(k)) for k in (0, 1, 2)] == before
+    assert ids(store.raw_events(1, [dt.date(2026, 3, 1)])) == ["a", "b"]
+    assert ids(store.raw_events(days=["2026-03-02"])) == ["x"]
+    assert store.raw_events(days=["2026-03-09"]).count() == 0
+    assert store.prune(dt.date(2026, 3, 2)) == 3
+    assert ids(store.raw_events()) == ["x"] and store.raw_days() == ["2026-03-02"]
+
+
+def test_later_batches_join_a_compacted_day(spark, store):
+    publish = _batches(spark, store, [("a", ONE)], [("b", ONE)])
+    store.compact_files(dt.date(2026, 3, 5))
+    good = split_valid(parse_events(messages_df(spark, [wire("c", timestamp=ONE)])))[0]
+    store.publish_batch(good, 2)
+    assert ids(store.raw_events()) == ["a", "b", "c"]
+    assert [r.total_views for r in store.product_metrics().collect()] == [3]
+    assert [r.event_id for r in store.latest_events(9).collect()] == ["c", "b", "a"]
+    assert store.compact_files(dt.date(2026, 3, 5)) == 1
+    assert store.compact_files(dt.date(2026, 3, 5)) == 0
+    assert ids(store.raw_events()) == ["a", "b", "c"]
+    assert store.replace_day(dt.date(2026, 3, 1))
+    with pytest.raises(ValueError, match="committed"):
+        publish(1)
+
+
+def test_late_events_alone_are_published(log, store, root):
+    horizon = _since(T0)
+    log.send([wire("old", timestamp="2026-01-01T00:00:00Z")])
+    run_available(log.stream(), store, f"{root}/cp", horizon=horizon)
+    assert ids(store.raw_events()) == ["old"]
+    assert [r.total_views for r in store.product_metrics().collect()] == [1]
+    # Another copy of it, alone as well.
+    log.send([wire("old", timestamp="2026-01-01T00:00:00Z"), "junk"])
+    run_available(log.stream(), store, f"{root}/cp", horizon=horizon)
+    assert ids(store.raw_events()) == ["old"]
+    assert not list(Path(store.late_path).glob("*"))
 
 
 def test_replace_between_batches(log, store, root):
