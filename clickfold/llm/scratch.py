@@ -14,9 +14,9 @@ class Scratch:
         self.spark = spark
         self.root = scratch_dir(spark, name)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` and read it back: it is computed once, and survives lost executors."""
-        df.write.parquet(f"{self.root}/{name}")
+        df.write.parquet(f"{self.root}/{name}", compression=compression)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

@@ -230,7 +230,7 @@ def with_revisits(
         F.monotonically_increasing_id().alias("row"),
     )
     # Stored, since row numbers hold for one reading only.
-    rows = scratch.put(plain, "pages")
+    rows = scratch.put(plain, "pages", compression="zstd")
     narrow = rows.select("row", "page_id", "n_bytes", "sha256").filter(F.col("n_bytes") >= least_bytes)
     # Counted before the shuffle, so a payload that very many pages share costs a row per task.
     first = narrow.groupBy("n_bytes", "sha256").agg(
