@@ -16,6 +16,8 @@ from clickfold.operators.measures import measures_of
 from clickfold.operators.staging import of_type, on_day, within
 from clickfold.schemas import CLICK, PURCHASE, VIEW
 
+WINDOW_MEASURES = ("total_events", "views", "clicks", "purchases")
+
 
 def _money(column: Column | str) -> Column:
     return F.coalesce(column, F.lit(0).cast("decimal(20,2)"))
@@ -101,8 +103,9 @@ def latest_events(raw: DataFrame, limit: int = 50, event_type: str = "ALL") -> D
     )
 
 
-def throughput(events: DataFrame, seconds: int = 10, time: str = "created_at") -> DataFrame:
-    """Arrivals per tumbling window and type. Works on a batch or a watermarked stream."""
+def window_counts(events: DataFrame, seconds: int = 10, time: str = "created_at") -> DataFrame:
+    """Arrivals per tumbling window and type, as counts that add up. Works on a batch or a
+    watermarked stream."""
 
     def count(event_type: str) -> Column:
         return F.count_if(F.col("event_type") == event_type)
@@ -114,11 +117,28 @@ def throughput(events: DataFrame, seconds: int = 10, time: str = "created_at") -
         count(PURCHASE).alias("purchases"),
     )
     return windows.select(
+        F.lit(int(seconds)).alias("seconds"),
         F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
-        "total_events",
-        "views",
-        "clicks",
-        "purchases",
-        (F.col("total_events") / F.lit(int(seconds))).alias("events_per_sec"),
+        *WINDOW_MEASURES,
     )
+
+
+def merge_windows(parts: DataFrame) -> DataFrame:
+    """Counts of the same window from several batches, added up."""
+    sums = [F.sum(c).alias(c) for c in WINDOW_MEASURES]
+    return parts.groupBy("seconds", "window_start").agg(*sums)
+
+
+def window_rates(counts: DataFrame) -> DataFrame:
+    """Window counts with the end of the window and the rate of arrival."""
+    return counts.select(
+        "window_start",
+        (F.col("window_start") + F.make_dt_interval(secs=F.col("seconds"))).alias("window_end"),
+        *WINDOW_MEASURES,
+        (F.col("total_events") / F.col("seconds")).alias("events_per_sec"),
+    )
+
+
+def throughput(events: DataFrame, seconds: int = 10, time: str = "created_at") -> DataFrame:
+    """Arrivals per tumbling window and type. Works on a batch or a watermarked stream."""
+    return window_rates(window_counts(events, seconds, time))

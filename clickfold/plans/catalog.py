@@ -41,12 +41,13 @@ from clickfold.sources.star_events import (
 )
 from clickfold.sources.tables import partition_values, read_table, table_bytes
 from clickfold.streaming.live import (
-    live_throughput,
     start_landing,
     start_publishing,
+    start_throughput,
     state_partitions_for,
 )
-from clickfold.streaming.store import EventStore
+from clickfold.streaming.store import REPLAYS, EventStore
+from clickfold.streaming.windows import WindowTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -426,17 +427,15 @@ def _publish_part(store: EventStore, messages: DataFrame, number: int) -> None:
     different ones."""
     part = F.pmod(F.col("offset") + (F.col("topic") != MAIN_TOPIC).cast("int"), F.lit(STORE_BATCHES))
     store.land_batch(messages.filter(part == number), number, STORE_HORIZON, STORE_NOW)
-    landed = read_table(
-        store.spark,
-        store.landing_path,
-        RAW_EVENTS,
-        [T.StructField("batch_id", T.LongType())],
-        [number],
-    )
-    events = dedup(landed, store.raw_events(number - 1))
+    events = dedup(_landed(store, number), store.raw_events(number - 1))
     store.publish_batch(events, number, store.take_late(number))
 
 
+def _landed(store: EventStore, number: int) -> DataFrame:
+    batch = T.StructField("batch_id", T.LongType())
+    return read_table(store.spark, store.landing_path, RAW_EVENTS, [batch], [number])
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> EventStore:
     """A store filled by batches, half of the days late, then compacted: what production reads.
     Built once per session and folder."""
@@ -451,6 +450,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> EventStore:
     store.compact([dt.date.fromisoformat(day) for day in metrics])
     store.vacuum()
     store.compact_files(dt.date(9999, 12, 31))
+    store.roll_up()
     _STORED[key] = store
     return store
 
@@ -521,24 +521,49 @@ def store_unique_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals per window as a stream counts them, late ones included."""
+    """Arrivals per window as a stream adds them up, late ones included."""
     root = scratch_dir(spark, "throughput")
     _messages(bare_events(spark, sf_dir)).write.parquet(f"{root}/log")
     messages = read_event_stream(spark, _quarters(spark, f"{root}/log"), f"{root}/log")
+    windows = WindowTable(spark, f"{root}/windows")
+    start_throughput(
+        messages, windows, f"{root}/checkpoint", None, fold_every=2
+    ).awaitTermination()
+    return windows.rates()
+
+
+def store_total_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.kpi_totals(_stored(spark, sf_dir).product_totals())
 
-    def write(updates: DataFrame, number: int) -> None:
-        numbered = updates.withColumn("batch", F.lit(number))
-        numbered.write.mode("overwrite").parquet(f"{root}/windows/number={number}")
-
-    query = live_throughput(messages).writeStream.foreachBatch(write).outputMode("update")
-    query = query.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    query.start().awaitTermination()
-    windows = spark.read.parquet(f"{root}/windows").drop("number")
-    newest = F.max(F.struct("batch", *[c for c in windows.columns if c != "batch"])).alias("w")
-    last = windows.groupBy("window_start").agg(newest).select("w.*").drop("batch")
-    return last.withColumns(
-        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+
+def store_total_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.top_products(_stored(spark, sf_dir).product_totals())
+
+
+def store_total_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.category_breakdown(_stored(spark, sf_dir).product_totals())
+
+
+def store_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which two in seven are rejected; a fix of one kind, then a replay. Stored
+    events, and messages that are rejected still."""
+    store = EventStore(spark, scratch_dir(spark, "replayed"))
+    messages = _messages(bare_events(spark, sf_dir))
+    kind, value = F.col("offset") % 7, F.col("value")
+    marked = F.regexp_replace(value, r'"timestamp":"', '"timestamp":"!')
+    wide = F.regexp_replace(value, r'"event_type":"[^"]*"', f'"event_type":"{"X" * 21}"')
+    broken = F.when(kind == 2, marked).when(kind == 5, wide).otherwise(value)
+    store.land_batch(messages.withColumn("value", broken), 0)
+    store.publish_batch(_landed(store, 0), 0)
+    unmarked = F.regexp_replace("value", r'"timestamp":"!', '"timestamp":"')
+    store.replay_rejected(lambda m: m.withColumn("value", unmarked))
+    store.publish_batch(dedup(_landed(store, REPLAYS), store.raw_events(0)), 1)
+    events = store.raw_events().select("event_id", F.lit("stored").alias("state"))
+    rejects = store.rejected_events().select(
+        F.get_json_object("raw_value", "$.event_id").alias("event_id"),
+        F.concat_ws(" on ", F.lit("rejected"), "kafka_topic").alias("state"),
     )
+    return events.unionByName(rejects)
 
 
 def _stored_events(store: EventStore) -> DataFrame:
@@ -620,6 +645,10 @@ QUERIES: dict[str, Query] = {
     "store_latest": store_latest,
     "store_unique_metrics": store_unique_metrics,
     "store_throughput": store_throughput,
+    "store_total_kpis": store_total_kpis,
+    "store_total_products": store_total_products,
+    "store_total_categories": store_total_categories,
+    "store_replayed": store_replayed,
 }
 
 

@@ -27,8 +27,10 @@ from clickfold.streaming.live import (
     refuse_drops,
     start_landing,
     start_publishing,
+    start_throughput,
 )
 from clickfold.streaming.store import EventStore
+from clickfold.streaming.windows import WindowTable
 
 CLEAN_EVERY_SECONDS = 600
 
@@ -61,16 +63,28 @@ def run_daily(store: EventStore, day: dt.date, now: dt.datetime) -> int:
     return summary.records_processed
 
 
-def run_checks(store: EventStore, day: dt.date | None = None) -> int:
-    """Ids must be present and unique, and (date, product) unique in the metrics, over all
-    days or within one; returns the number of failures."""
-    raw = store.raw_events(days=None if day is None else [day])
+def run_checks(store: EventStore, day: dt.date | None = None, full: bool = False) -> int:
+    """Ids must be present and unique, and (date, product) unique in the metrics; returns the
+    number of failures.
+
+    Without a day, only days that changed since the last such check that found nothing are read;
+    ``full`` reads all days, and so also finds an id repeated on different days.
+    """
+    batch, run = store.last_committed(), store.last_run()
+    since = None if full or day is not None else store.checked_up_to()
+    days = None if day is None else [str(day)]
+    if since is not None:
+        days = store.changed_days(**since)
+    raw = store.raw_events(days=days)
     nulls = check_not_null(raw, ["event_id"]).agg(F.sum("null_rows")).first()[0]
     copies = check_unique(raw, ["event_id"]).count()
-    metrics = store.product_metrics(None if day is None else [day])
-    keys = check_unique(metrics, METRIC_KEYS).count()
+    dates = None if days is None else [dt.date.fromisoformat(d) for d in days]
+    keys = check_unique(store.product_metrics(dates), METRIC_KEYS).count()
     log.info("event_id: %d null, %d repeated; metric keys: %d repeated", nulls, copies, keys)
-    return nulls + copies + keys
+    failures = nulls + copies + keys
+    if day is None and not failures and batch is not None:
+        store.mark_checked(batch, run)
+    return failures
 
 
 def recorded(store: EventStore, job: str, now: dt.datetime, work: Callable[[], int | None]):
@@ -120,7 +134,7 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--first-landing", type=int, help="after a lost checkpoint")
     stream.add_argument("--first-batch", type=int, help="after a lost checkpoint")
     stream.add_argument(
-        "--recheck-stored", action="store_true", help="compare with ids stored before --first-batch"
+        "--recheck-stored", action="store_true", help="drop copies of events stored before --first-batch"
     )
     stream.add_argument(
         "--state-partitions",
@@ -144,6 +158,17 @@ def _parser() -> argparse.ArgumentParser:
     prune.add_argument("--days", type=int, default=RETENTION_DAYS)
     check = jobs.add_parser("check")
     check.add_argument("--date", help="YYYY-MM-DD, all days by default")
+    check.add_argument("--full", action="store_true", help="also days checked before")
+    replay = jobs.add_parser("replay", help="land rejected messages again")
+    replay.add_argument("--date", action="append", help="rejected on this day; repeatable")
+    replay.add_argument("--horizon-days", type=int, help="as the stream has it")
+    jobs.add_parser("rollup", help="bring month and all-time totals up to date")
+    throughput = jobs.add_parser("throughput", help="count arrivals per window from Kafka")
+    throughput.add_argument("--servers", required=True)
+    throughput.add_argument("--checkpoint", required=True)
+    throughput.add_argument("--every", default=EVERY)
+    throughput.add_argument("--seconds", type=int, default=10)
+    throughput.add_argument("--first-batch", type=int, help="after a lost checkpoint")
     jobs.add_parser("topics")
     jobs.add_parser("vacuum")
     compact = jobs.add_parser("compact", help="merge the files of days before a date")
@@ -182,7 +207,24 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
             clean_landing(store, publishing)
         return None
 
+    if args.job == "throughput":
+        messages = read_event_stream(spark, kafka_options(args.servers, "earliest"))
+        start_throughput(
+            messages,
+            WindowTable(spark, f"{args.root}/windows"),
+            args.checkpoint,
+            args.every,
+            args.seconds,
+            args.first_batch,
+        ).awaitTermination()
+        return None
+
     def work() -> int | None:
+        if args.job == "replay":
+            horizon = None if args.horizon_days is None else dt.timedelta(days=args.horizon_days)
+            taken, still = store.replay_rejected(None, args.day, horizon, now)
+            log.info("%d messages replayed, %d of them rejected again", taken, still)
+            return taken - still
         require_table(spark, store.raw_path)
         if args.job == "daily":
             return run_daily(store, args.day, now)
@@ -191,9 +233,12 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
         elif args.job == "marts":
             build_marts(spark, store.raw_events(days=args.day), args.out, args.day)
         elif args.job == "prune":
-            return store.prune(default_cutoff(now, args.days).date())
+            oldest = default_cutoff(now, args.days).date()
+            return store.prune(oldest) + store.prune_rejected(oldest)
         elif args.job == "check":
-            return run_checks(store, args.day)
+            return run_checks(store, args.day, args.full)
+        elif args.job == "rollup":
+            return store.roll_up()
         elif args.job == "topics":
             store.record_topic_stats(now)
         elif args.job == "vacuum":
@@ -216,7 +261,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             args.day = parse_day(args.date, now)
         elif args.job == "check":
             args.day = parse_day(args.date) if args.date else None
-        elif args.job == "marts":
+        elif args.job in ("marts", "replay"):
             args.day = [parse_day(d) for d in args.date] if args.date else None
     except ValueError as error:
         parser.error(str(error))

@@ -374,3 +374,16 @@ SELECT metric_date, product_id, CAST(2 AS BIGINT) AS copies
 FROM ({_STREAMED}) WHERE metric_date = '{DAY}'
 """
 ORACLES["store_throughput"] = ORACLES["throughput_10s"]
+ORACLES["store_total_kpis"] = ORACLES["kpi_totals"]
+ORACLES["store_total_products"] = ORACLES["top_products_8"]
+ORACLES["store_total_categories"] = ORACLES["category_breakdown"]
+ORACLES["store_replayed"] = f"""
+WITH sent AS (SELECT event_id, event_type, CAST(event_id AS BIGINT) % 7 = 5 AS wide
+              FROM ({ORACLES["stream_raw"]}))
+SELECT event_id, 'stored' AS state FROM sent WHERE NOT wide
+UNION ALL SELECT event_id, 'rejected on product-events' FROM sent WHERE wide
+UNION ALL SELECT event_id, 'rejected on product-clicks' FROM sent
+          WHERE wide AND event_type = 'CLICK'
+UNION ALL SELECT event_id, 'rejected on product-purchases' FROM sent
+          WHERE wide AND event_type = 'PURCHASE'
+"""

@@ -152,3 +152,26 @@ TOPIC_COUNTS = T.StructType(
         T.StructField("last_offset", T.LongType()),
     ]
 )
+
+# Arrivals per window; counts of several batches add up.
+WINDOW_COUNTS = T.StructType(
+    [
+        T.StructField("seconds", T.IntegerType()),
+        T.StructField("window_start", T.TimestampNTZType()),
+        T.StructField("total_events", T.LongType()),
+        T.StructField("views", T.LongType()),
+        T.StructField("clicks", T.LongType()),
+        T.StructField("purchases", T.LongType()),
+    ]
+)
+
+# All-time measures of a product under one name.
+PRODUCT_TOTALS = T.StructType(
+    [
+        T.StructField("product_id", T.StringType()),
+        T.StructField("product_name", T.StringType()),
+        T.StructField("product_category", T.StringType()),
+        *[T.StructField(name, T.LongType()) for name in COUNTERS],
+        T.StructField("total_revenue", REVENUE),
+    ]
+)

@@ -56,6 +56,11 @@ def read_table(
     return spark.read.schema(full).option("basePath", path).parquet(*paths)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _filesystem(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _filesystem(spark, path)
     fs.delete(hadoop_path, True)

@@ -8,23 +8,30 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from clickfold.functions.clock import ntz, utc_now
 from clickfold.operators.ingest import accepted, dedup, parse_events, tag_rejects
 from clickfold.operators.serving import throughput
 from clickfold.schemas import MAIN_TOPIC, RAW_EVENTS
 from clickfold.session import STATE_STORE_CONF, session_conf
-from clickfold.sources.tables import marker, put_marker, table_exists
-from clickfold.streaming.store import AHEAD, EventStore
+from clickfold.sources.tables import drop_path, make_folder, marker, put_marker, table_exists
+from clickfold.streaming.store import AHEAD, REPLAYS, EventStore
+from clickfold.streaming.windows import WindowTable
 
 EVERY = "10 seconds"
 LANDED = "landed"
 LANDING = T.StructType([*RAW_EVENTS.fields, T.StructField("batch_id", T.LongType())])
 BYTES_PER_STATE_PARTITION = 8 * 1024**3
 FIRST_BATCH = "first_batch"
+SEEDED = "seeded"
+#: The landing batch of ids that were published before.
+SEED = -1
+#: Batches between two folds of the window counts.
+FOLD_EVERY = 100
 
 
 def _start(stream: DataFrame, on_batch, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -37,14 +44,14 @@ def _start(stream: DataFrame, on_batch, checkpoint: str, every: str | None) -> S
 
 
 def _first_number(
-    store: EventStore, checkpoint: str, last: int | None, first_batch: int | None
+    spark: SparkSession, checkpoint: str, last: int | None, first_batch: int | None
 ) -> int:
     """The number of the checkpoint's first batch, which is kept with the checkpoint.
 
     Batch ids start over without a checkpoint, so that the first number must then lie above
     all stored ones. A later start takes the kept number; another one is refused.
     """
-    spark, folder = store.spark, f"{checkpoint}/{FIRST_BATCH}"
+    folder = f"{checkpoint}/{FIRST_BATCH}"
     kept = marker(spark, folder)
     if kept is None and table_exists(spark, f"{checkpoint}/offsets"):
         kept = 0
@@ -77,7 +84,7 @@ def start_landing(
     ``store.last_landed()``. With a ``horizon`` (the one publishing has) events older than it
     land apart, and events far in the future are rejected.
     """
-    first = _first_number(store, checkpoint, store.last_landed(), first_batch)
+    first = _first_number(store.spark, checkpoint, store.last_landed(), first_batch)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         store.land_batch(batch, first + batch_id, horizon)
@@ -139,35 +146,61 @@ def start_publishing(
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a batch.
 
     After a lost checkpoint the state is empty: start with ``first_batch`` above
-    ``store.last_committed()`` and ``recheck_stored=True``, which compares each batch
-    with all ids stored before. That is a scan of the id column per batch, so use large
-    batches, and restart without it once copies of old events can no longer arrive.
+    ``store.last_committed()`` and ``recheck_stored=True``, which first feeds the stored ids
+    through the stream, see :func:`_seed`. That scans the id column once; all later batches
+    look ids up in the state alone.
     """
     spark = store.spark
-    first = _first_number(store, checkpoint, store.last_committed(), first_batch)
-    # The file source insists on an existing folder.
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(store.landing_path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
-
-    landed = (
-        spark.readStream.schema(LANDING)
-        .options(**(source_options or {}))
-        .parquet(store.landing_path)
-        .observe(LANDED, F.max("batch_id").alias("newest"))
-        .drop("batch_id")
-    )
-
-    def publish(events: DataFrame, batch_id: int) -> None:
-        if recheck_stored:
-            events = dedup(events, store.raw_events(first - 1))
-        number = first + batch_id
-        store.publish_batch(events, number, store.take_late(number))
-
+    first = _first_number(spark, checkpoint, store.last_committed(), first_batch)
     conf = dict(STATE_STORE_CONF)
     if state_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(state_partitions)
-    with session_conf(spark, conf):
-        return _start(unique_events(landed, horizon), publish, checkpoint, every)
+
+    def start(every: str | None, options: dict[str, str], stored: int | None) -> StreamingQuery:
+        def publish(events: DataFrame, batch_id: int) -> None:
+            new = events.filter(F.col("batch_id") != SEED).drop("batch_id")
+            if stored is not None:
+                new = dedup(new, store.raw_events(stored))
+            number = first + batch_id
+            store.publish_batch(new, number, store.take_late(number))
+
+        with session_conf(spark, conf):
+            landed = unique_events(_landed(store, options), horizon)
+            return _start(landed, publish, checkpoint, every)
+
+    # The file source insists on an existing folder.
+    make_folder(spark, store.landing_path)
+    if recheck_stored and marker(spark, f"{checkpoint}/{SEEDED}") is None:
+        _seed(store, first, horizon)
+        # While seeds and events meet in a batch, either may come first: compare once more.
+        seeding = start(None, {}, first - 1)
+        seeding.awaitTermination()
+        drop_path(spark, f"{store.landing_path}/batch_id={SEED}")
+        put_marker(spark, f"{checkpoint}/{SEEDED}", first)
+    return start(every, source_options or {}, None)
+
+
+def _landed(store: EventStore, options: dict[str, str]) -> DataFrame:
+    """The landed files as a stream, which reports the newest batch it saw."""
+    own = F.when(F.col("batch_id") < REPLAYS, F.col("batch_id"))
+    files = store.spark.readStream.schema(LANDING).options(**options).parquet(store.landing_path)
+    return files.observe(LANDED, F.max(own).alias("newest"))
+
+
+def _seed(store: EventStore, first: int, horizon: dt.timedelta | None) -> None:
+    """Land the ids stored before batch ``first`` as rows that only fill the state.
+
+    One pass over two columns, in place of one per batch. With a horizon, events that it
+    would have forgotten stay out: a copy of those lands apart and is looked up on its day.
+    """
+    ids = store.raw_events(first - 1).select("event_id", "created_at")
+    if horizon is not None:
+        ids = ids.filter(F.col("created_at") >= ntz(utc_now() - horizon - AHEAD))
+    empty = [
+        F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_EVENTS if f.name not in ids.columns
+    ]
+    seeds = ids.select("*", *empty).select(*RAW_EVENTS.names)
+    seeds.write.mode("overwrite").parquet(f"{store.landing_path}/batch_id={SEED}")
 
 
 def clean_landing(store: EventStore, publishing: StreamingQuery) -> int:
@@ -211,9 +244,35 @@ def live_throughput(messages: DataFrame, seconds: int = 10) -> DataFrame:
     """Arrivals per window as a streaming table, for an update sink.
 
     Reads the main topic alone, which carries every event once. Windows stay open, so that
-    late arrivals count; the state is one row per window of the stream's life.
+    late arrivals count; the state is one row per window of the stream's life. For a stream
+    that runs for long use :func:`start_throughput`, which needs no state.
     """
     main = messages.filter(F.col("topic") == MAIN_TOPIC)
     events = accepted(tag_rejects(parse_events(main)))
     timed = events.withColumn("event_at", F.col("created_at").cast("timestamp"))
     return throughput(timed, seconds, time="event_at")
+
+
+def start_throughput(
+    messages: DataFrame,
+    windows: WindowTable,
+    checkpoint: str,
+    every: str | None = EVERY,
+    seconds: int = 10,
+    first_batch: int | None = None,
+    fold_every: int = FOLD_EVERY,
+) -> StreamingQuery:
+    """Add each batch's arrivals per window to ``windows``; folded every so many batches.
+
+    The stream is stateless, and late arrivals add to their old windows, however old.
+    ``first_batch`` as in :func:`start_landing`.
+    """
+    spark = windows.spark
+    first = _first_number(spark, checkpoint, windows.last_counted(), first_batch)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        windows.count_batch(batch, first + batch_id, seconds)
+        if batch_id % fold_every == fold_every - 1:
+            windows.fold()
+
+    return _start(messages, count, checkpoint, every)

@@ -5,7 +5,7 @@ table          partitions                 rows
 =============  =========================  ==============================================
 landing        batch_id                   valid events, one per id within a batch
 late           batch_id                   the same, older than the horizon
-rejected       batch_id                   messages set aside, with the reason
+rejected       rejected_on, batch_id      messages set aside, with the reason
 raw_events     event_date, batch_id       events, one per id over all batches
 raw_merged     event_date, merged         the same after compaction, with their batch numbers
 manifests      event_date                 which merged folder and which batches of it count
@@ -16,6 +16,8 @@ job_runs       run_date                   one row per attempt of a batch or job
 topic_log      batch_id                   messages per topic partition in one batch
 topic_counts   as_of                      messages per topic partition up to a batch
 topic_stats    run_date                   recorded totals per topic
+month_totals   month, version             all measures of a month, see ``rollups``
+all_totals     version                    the same of several months together
 =============  =========================  ==============================================
 
 A batch first deletes whatever an earlier attempt with its number wrote and then writes its
@@ -28,8 +30,9 @@ rows of later batches, summed.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
@@ -66,9 +69,11 @@ from clickfold.sources.tables import (
     partition_values,
     put_marker,
     read_table,
+    read_text,
     rename,
     table_exists,
     write_partitions,
+    write_text,
 )
 from clickfold.streaming.manifests import (
     Manifest,
@@ -76,14 +81,18 @@ from clickfold.streaming.manifests import (
     read_manifests,
     write_manifest,
 )
+from clickfold.streaming.rollups import TotalsTable
 
 PUBLISH = "publish"
+#: Numbers from here on belong to replays of rejected messages, smaller ones to the stream.
+REPLAYS = 1 << 62
 #: How far ahead of the clock an event may be where a horizon bounds the state.
 AHEAD = dt.timedelta(days=1)
 
 _BATCH = T.StructField("batch_id", T.LongType())
 _METRIC_DATE = T.StructField("metric_date", T.DateType())
 _RUN_DATE = T.StructField("run_date", T.DateType())
+_REJECTED_ON = T.StructField("rejected_on", T.DateType())
 _VERSION = (T.StructField("as_of", T.LongType()), T.StructField("run", T.LongType()))
 
 
@@ -121,11 +130,18 @@ class EventStore:
         self.committed_path = f"{self.root}/committed"
         self.vacuumed_path = f"{self.root}/vacuumed"
         self.compacting_path = f"{self.root}/compacting"
+        self.replays_path = f"{self.root}/replays"
+        self.replaying_path = f"{self.root}/replaying"
+        self.checked_path = f"{self.root}/checked"
+        self.totals = TotalsTable(spark, self.root)
 
     # --- reads -------------------------------------------------------------------
 
-    def rejected_events(self) -> DataFrame:
-        return read_table(self.spark, self.rejected_path, REJECTED_EVENTS, [_BATCH])
+    def rejected_events(self, days: Sequence[dt.date | str] | None = None) -> DataFrame:
+        """Messages set aside, by the day on which that happened."""
+        return read_table(
+            self.spark, self.rejected_path, REJECTED_EVENTS, [_REJECTED_ON, _BATCH], days
+        )
 
     def raw_events(
         self, up_to: int | None = None, days: Sequence[dt.date | str] | None = None
@@ -207,15 +223,15 @@ class EventStore:
 
     def last_landed(self) -> int | None:
         """Number of the newest batch that was landed."""
-        paths = (
+        paths = [
             self.landing_path,
             self.late_path,
-            self.rejected_path,
             self.topic_log_path,
             self.topic_counts_path,
-        )
+            *[path for _, path in partition_values(self.spark, self.rejected_path)],
+        ]
         numbers = [int(v) for path in paths for v, _ in partition_values(self.spark, path)]
-        return max(numbers, default=None)
+        return max((n for n in numbers if 0 <= n < REPLAYS), default=None)
 
     def next_offsets(self) -> dict[str, dict[str, int]]:
         """Per topic and partition the offset after the last one landed.
@@ -318,8 +334,10 @@ class EventStore:
         horizon, events older than it are set apart as late and events more than
         :data:`AHEAD` in the future are rejected: they would move event time on for all.
         """
-        for path in (self.landing_path, self.late_path, self.rejected_path, self.topic_log_path):
+        for path in (self.landing_path, self.late_path, self.topic_log_path):
             drop_path(self.spark, f"{path}/batch_id={number}")
+        for _, day_path in partition_values(self.spark, self.rejected_path):
+            drop_path(self.spark, f"{day_path}/batch_id={number}")
         parsed = parse_events(messages)
         now = now or utc_now()
         latest = None if horizon is None else now + AHEAD
@@ -329,9 +347,10 @@ class EventStore:
             seen = topic_counts(tagged, F.count("reject_reason").alias("bad")).collect()
             if not seen:
                 return
-            counts = self.spark.createDataFrame([r[:-1] for r in seen], TOPIC_COUNTS)
-            counts = counts.withColumn("batch_id", F.lit(number)).coalesce(1)
-            write_partitions(counts, self.topic_log_path, "batch_id")
+            if number < REPLAYS:
+                counts = self.spark.createDataFrame([r[:-1] for r in seen], TOPIC_COUNTS)
+                counts = counts.withColumn("batch_id", F.lit(number)).coalesce(1)
+                write_partitions(counts, self.topic_log_path, "batch_id")
             good = accepted(tagged)
             if horizon is not None:
                 is_late = F.col("created_at") < ntz(now - horizon)
@@ -346,8 +365,12 @@ class EventStore:
                 empty = self.spark.createDataFrame([], RAW_EVENTS)
                 empty.write.parquet(f"{self.landing_path}/batch_id={number}")
             if sum(r.bad for r in seen):
-                bad = rejected(tagged).withColumn("batch_id", F.lit(number))
-                write_partitions(bad, self.rejected_path, "batch_id", rebalance=True)
+                bad = rejected(tagged).withColumns(
+                    {"rejected_on": F.lit(now.date()), "batch_id": F.lit(number)}
+                )
+                write_partitions(
+                    bad, self.rejected_path, "rejected_on", "batch_id", rebalance=True
+                )
 
     def _only_late(self, number: int) -> bool:
         """Whether a landed batch has late events and no others."""
@@ -406,20 +429,23 @@ class EventStore:
             F.to_date("created_at").alias("event_date"),
             F.lit(number).cast("long").alias("batch_id"),
         )
-        records = 0
+        records, months = 0, []
         with session_conf(events.sparkSession, BATCH_CONF):
             write_partitions(dated, self.raw_path, "event_date", "batch_id", rebalance=True)
             written = [
-                f"{path}/batch_id={number}"
-                for _, path in partition_values(self.spark, self.raw_path)
+                (day, f"{path}/batch_id={number}")
+                for day, path in partition_values(self.spark, self.raw_path)
                 if table_exists(self.spark, f"{path}/batch_id={number}")
             ]
             if written:
                 schema = T.StructType([*RAW_EVENTS.fields, EVENT_DATE, _BATCH])
                 reader = self.spark.read.schema(schema).option("basePath", self.raw_path)
-                batch = reader.parquet(*written)
+                batch = reader.parquet(*[path for _, path in written])
                 records = batch.count()
                 added = product_metrics(batch).withColumn("batch_id", F.lit(number))
+                # Marked before and after: totals made in between do not count as current.
+                months = sorted({day[:7] for day, _ in written})
+                self.totals.mark_changed(months)
                 write_partitions(added, self.log_path, "metric_date", "batch_id")
         self.record_run(
             run_id=f"{PUBLISH}-{number}",
@@ -431,6 +457,7 @@ class EventStore:
             batch_id=number,
         )
         put_marker(self.spark, self.committed_path, number)
+        self.totals.mark_changed(months)
 
     def _withdraw(self, number: int) -> None:
         """Take a batch that is repeated out of the merged days; the rest of them stays."""
@@ -493,7 +520,9 @@ class EventStore:
         if events.isEmpty():
             return False
         current = self.product_metrics([day], as_of)
+        self.totals.mark_changed([str(day)[:7]])
         self._write_snapshot(merge_replace(current, product_metrics(events)), as_of, run)
+        self.totals.mark_changed([str(day)[:7]])
         return True
 
     def compact(self, days: Sequence[dt.date], run: int | None = None) -> None:
@@ -547,6 +576,127 @@ class EventStore:
             drop_partitions(self.spark, path, lambda day: day in old)
         return rows
 
+    def metric_days(self) -> list[str]:
+        """Days that have metrics, oldest first."""
+        paths = (self.snapshot_path, self.log_path)
+        return sorted({day for path in paths for day, _ in partition_values(self.spark, path)})
+
+    def roll_up(self) -> int:
+        """Bring the month and all-time totals up to date; returns the months computed."""
+        return self.totals.roll_up(self._month_measures, self.metric_days())
+
+    def product_totals(self) -> DataFrame:
+        """All-time measures per (product_id, product_name, product_category).
+
+        Equal to adding up :meth:`measures`, but read from the totals: days are folded only in
+        months that changed since :meth:`roll_up`.
+        """
+        return self.totals.read(self._month_measures, self.metric_days())
+
+    def _month_measures(self, days: Sequence[str]) -> DataFrame:
+        return self.measures([dt.date.fromisoformat(day) for day in days])
+
+    def prune_rejected(self, oldest_kept: dt.date) -> int:
+        """Drop the messages rejected before a day; returns the row count."""
+        days = [day for day, _ in partition_values(self.spark, self.rejected_path)]
+        old = [day for day in days if dt.date.fromisoformat(day) < oldest_kept]
+        rows = self.rejected_events(old).count()
+        drop_partitions(self.spark, self.rejected_path, lambda day: day in old)
+        return rows
+
+    def replay_rejected(
+        self,
+        fix: Callable[[DataFrame], DataFrame] | None = None,
+        days: Sequence[dt.date | str] | None = None,
+        horizon: dt.timedelta | None = None,
+        now: dt.datetime | None = None,
+    ) -> tuple[int, int]:
+        """Land rejected messages again, as after a change of schema or limits; returns how
+        many were taken and how many of them are rejected still.
+
+        ``fix`` may change the messages (columns of KAFKA_SCHEMA) first. The replay is a landing
+        batch with a number of its own, so the publishing stream takes it like any other and
+        drops ids it knows; messages that fail again are rejected under the new number, today.
+        The old rows go last. A replay that was cut off is repeated, with the rows and the number
+        it had, before a new one starts.
+        """
+        plan = self._replay_plan(days)
+        if plan is None:
+            return 0, 0
+        number, folders = plan["number"], plan["folders"]
+        taken = still = 0
+        if not plan["landed"]:
+            schema = T.StructType([*REJECTED_EVENTS.fields, _REJECTED_ON, _BATCH])
+            reader = self.spark.read.schema(schema).option("basePath", self.rejected_path)
+            rows = reader.parquet(*folders)
+            messages = rows.select(
+                F.lit(None).cast("string").alias("key"),
+                F.col("raw_value").alias("value"),
+                F.col("kafka_topic").alias("topic"),
+                F.col("kafka_partition").alias("partition"),
+                F.col("kafka_offset").alias("offset"),
+            )
+            taken = rows.count()
+            self.land_batch(messages if fix is None else fix(messages), number, horizon, now)
+            still = self.rejected_events().filter(F.col("batch_id") == number).count()
+            write_text(self.spark, self.replaying_path, json.dumps({**plan, "landed": True}))
+        for folder in folders:
+            drop_path(self.spark, folder)
+        put_marker(self.spark, self.replays_path, number)
+        drop_path(self.spark, self.replaying_path)
+        return taken, still
+
+    def _replay_plan(self, days: Sequence[dt.date | str] | None) -> dict | None:
+        """Number and folders of the replay that was cut off, or else of a new one."""
+        if table_exists(self.spark, self.replaying_path):
+            return json.loads(read_text(self.spark, self.replaying_path))
+        wanted = None if days is None else {str(day) for day in days}
+        folders = [
+            folder
+            for day, path in partition_values(self.spark, self.rejected_path)
+            if wanted is None or day in wanted
+            for _, folder in partition_values(self.spark, path)
+        ]
+        if not folders:
+            return None
+        last = marker(self.spark, self.replays_path)
+        number = REPLAYS if last is None else last + 1
+        plan = {"number": number, "folders": folders, "landed": False}
+        write_text(self.spark, self.replaying_path, json.dumps(plan))
+        return plan
+
+    def checked_up_to(self) -> dict[str, int] | None:
+        """Batch and snapshot run up to which :meth:`mark_checked` was called."""
+        if not table_exists(self.spark, self.checked_path):
+            return None
+        return json.loads(read_text(self.spark, self.checked_path))
+
+    def mark_checked(self, batch: int, run: int) -> None:
+        write_text(self.spark, self.checked_path, json.dumps({"batch": batch, "run": run}))
+
+    def last_run(self) -> int:
+        """Number of the newest snapshot run."""
+        return max(self._runs().values(), default=0)
+
+    def _runs(self) -> dict[str, int]:
+        found = {}
+        for day, path in partition_values(self.spark, self.snapshot_path):
+            for _, version in partition_values(self.spark, path):
+                runs = [int(run) for run, _ in partition_values(self.spark, version)]
+                found[day] = max([found.get(day, 0), *runs])
+        return found
+
+    def changed_days(self, batch: int, run: int) -> list[str]:
+        """Days with events of a batch after ``batch``, or with metrics that a later batch or
+        snapshot run wrote, from listings and manifests alone."""
+        days = {day for day, newest in self._runs().items() if newest > run}
+        for root in (self.raw_path, self.log_path):
+            for day, path in partition_values(self.spark, root):
+                if any(int(n) > batch for n, _ in partition_values(self.spark, path)):
+                    days.add(day)
+        days |= {m.day for m in self._manifests().values() if max(m.batches, default=-1) > batch}
+        return sorted(days)
+
     def compact_files(self, before: dt.date) -> int:
         """Merge the folders and files of each day before ``before``: the committed batches of
         its events into one, and its job runs; returns the number of days merged.

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickfold.operators.products import product_metrics
-from clickfold.operators.serving import kpi_totals, top_products
+from clickfold.operators.funnels import funnel_overall
+from clickfold.operators.serving import category_breakdown, kpi_totals, top_products
 from clickfold.operators.ingest import dedup, parse_events, split_valid
 from clickfold.schemas import CLICK_TOPIC, MAIN_TOPIC, PURCHASE_TOPIC
 from clickfold.sources.kafka import read_event_stream
@@ -16,8 +17,10 @@ from clickfold.streaming.live import (
     run_available,
     start_landing,
     start_publishing,
+    start_throughput,
 )
-from clickfold.streaming.store import EventStore
+from clickfold.streaming.store import REPLAYS, EventStore
+from clickfold.streaming.windows import WindowTable
 from tests.rows import T0, messages_df, wire
 
 TOPIC_OF = {"CLICK": CLICK_TOPIC, "PURCHASE": PURCHASE_TOPIC}
@@ -558,3 +561,260 @@ def test_live_throughput(spark, log, root):
     ).first()
     # One event was sent four times on the main topic.
     assert (seen.n, seen.p) == (33, 6)
+
+
+# --- state after a lost checkpoint ----------------------------------------------------------
+
+
+def test_a_lost_checkpoint_costs_one_scan_of_ids(log, store, root, monkeypatch):
+    log.send([v for _, v in shop(20)])
+    run_available(log.stream(), store, f"{root}/cp")
+    store.compact_files(dt.date(2026, 12, 31))
+    first = store.last_committed() + 1
+    # Copies of stored events wait in the landing folder, and come later as well.
+    log.send([v for _, v in shop(10, 15)])
+    start_landing(log.stream(), store, f"{root}/cp/land", None).awaitTermination()
+    scans = []
+    read = EventStore.raw_events
+    monkeypatch.setattr(EventStore, "raw_events", lambda *a, **k: scans.append(a) or read(*a, **k))
+    start_publishing(
+        store, f"{root}/new", None, recheck_stored=True, first_batch=first
+    ).awaitTermination()
+    assert store.raw_events().count() == 25 and not list(Path(store.landing_path).glob("batch_id=-1"))
+    scans.clear()
+    for start in (0, 10, 20, 30):
+        log.send([v for _, v in shop(10, start)])
+        start_landing(log.stream(), store, f"{root}/cp/land", None).awaitTermination()
+        start_publishing(
+            store, f"{root}/new", None, recheck_stored=True, first_batch=first
+        ).awaitTermination()
+    assert not scans
+    assert store.raw_events().count() == 40
+    assert ordered(store.product_metrics()) == ordered(expected(log))
+
+
+def test_seeds_keep_to_the_horizon(log, store, root):
+    horizon = _since(T0)
+    log.send([wire("a"), wire("old", timestamp="2026-01-01T00:00:00Z")])
+    run_available(log.stream(), store, f"{root}/cp", horizon=horizon)
+    first = store.last_committed() + 1
+    log.send([wire("a"), wire("old", timestamp="2026-01-01T00:00:00Z"), wire("b")])
+    start_landing(log.stream(), store, f"{root}/cp/land", None, horizon=horizon).awaitTermination()
+    publishing = start_publishing(
+        store, f"{root}/new", None, horizon, recheck_stored=True, first_batch=first
+    )
+    publishing.awaitTermination()
+    refuse_drops(publishing)
+    assert ids(store.raw_events()) == ["a", "b", "old"]
+
+
+# --- windows ----------------------------------------------------------------------------------
+
+
+def _windows(table):
+    return {r.window_start: r.total_events for r in table.rates().collect()}
+
+
+def test_windows_keep_no_state_and_lose_nothing(spark, log, root):
+    table = WindowTable(spark, f"{root}/windows")
+    at, files = dt.datetime(2026, 3, 1, 10), []
+    for turn in range(6):
+        # A new window each time, and one more arrival in the first and in a long past one.
+        moment = at + dt.timedelta(minutes=turn)
+        log.send([wire(f"{turn}-{n}", timestamp=moment.isoformat() + "Z") for n in range(3)])
+        log.send([wire(f"late-{turn}", "CLICK", timestamp="2025-12-31T23:59:59.9Z"), "junk"])
+        log.send([wire(f"first-{turn}", timestamp=at.isoformat() + "Z")])
+        log.send([wire("copy", "CLICK")], CLICK_TOPIC)
+        query = start_throughput(log.stream(100), table, f"{root}/cp", None, fold_every=1)
+        query.awaitTermination()
+        assert all(not p.stateOperators for p in query.recentProgress)
+        files.append(len(list(Path(f"{root}/windows").rglob("*.parquet"))))
+    seen = _windows(table)
+    assert seen[at] == 3 + 6 and seen[dt.datetime(2025, 12, 31, 23, 59, 50)] == 6
+    assert sum(seen.values()) == 6 * 5
+    assert not Path(f"{root}/cp/state").exists()
+    # At most a fold and the newest batch per day.
+    assert max(files) <= 4
+
+
+def test_repeated_windows_count_once(spark, root):
+    table = WindowTable(spark, f"{root}/windows")
+    one = messages_df(spark, [wire("a"), wire("b", timestamp="2026-03-05T10:00:00Z")])
+    two = messages_df(spark, [wire("c")])
+    assert table.rates().count() == 0 and table.fold() == 0
+    for _ in range(2):
+        table.count_batch(one, 0)
+    for _ in range(2):
+        table.count_batch(two, 1)
+        table.fold()
+        assert sorted(_windows(table).values()) == [1, 2]
+    # A repeat without the dates of the first attempt.
+    table.count_batch(messages_df(spark, [wire("d", timestamp="2026-03-05T10:00:01Z")]), 1)
+    assert sorted(_windows(table).values()) == [1, 2]
+    assert {r.window_start.date(): r.total_events for r in table.counts([dt.date(2026, 3, 5)]).collect()} == {
+        dt.date(2026, 3, 5): 2
+    }
+    with pytest.raises(ValueError, match="counted"):
+        table.count_batch(one, 0)
+    rows = table.rates().collect()
+    assert all(r.window_end - r.window_start == dt.timedelta(seconds=10) for r in rows)
+
+
+# --- totals -----------------------------------------------------------------------------------
+
+
+def _totals_agree(store):
+    for report in (kpi_totals, top_products, category_breakdown, funnel_overall):
+        assert ordered(report(store.product_totals())) == ordered(report(store.measures()))
+
+
+def _read_files(df):
+    return len(df.inputFiles())
+
+
+def test_totals_follow_every_change(spark, store):
+    def publish(number, *events):
+        values = [wire(i, kind, f"{day}T10:00:00Z", **other) for i, kind, day, other in events]
+        store.publish_batch(split_valid(parse_events(messages_df(spark, values)))[0], number)
+
+    assert store.roll_up() == 0
+    assert kpi_totals(store.product_totals()).first().total_events == 0
+    for month in (1, 2, 3):
+        days = [f"2026-{month:02d}-{d:02d}" for d in range(1, 6)]
+        publish(month - 1, *[(f"{d}-{k}", k, d, {}) for d in days for k in ("VIEW", "PURCHASE")])
+    _totals_agree(store)
+    assert store.roll_up() == 3
+    _totals_agree(store)
+    # Two levels: all time without the newest month, and that month.
+    assert _read_files(store.product_totals()) <= 2
+    assert _read_files(store.measures()) >= 15
+    assert store.roll_up() == 0
+    # Nothing priced, a new name of an old product on an old day, and a repeated batch.
+    publish(3, ("n", "PURCHASE", "2026-01-02", {"product_name": "new", "product_price": None}))
+    publish(4, ("o", "PURCHASE", "2026-03-09", {"product_id": "p9", "product_name": "o", "product_price": None}))
+    _totals_agree(store)
+    publish(4, ("o", "PURCHASE", "2026-03-09", {"product_id": "p9", "product_name": "o", "product_price": None}))
+    _totals_agree(store)
+    assert store.roll_up() == 2
+    _totals_agree(store)
+    assert _read_files(store.product_totals()) <= 2
+    # Recomputing, compacting and cleaning up change no total.
+    assert store.replace_day(dt.date(2026, 2, 3))
+    store.compact([dt.date.fromisoformat(d) for d in store.metric_days()])
+    store.vacuum()
+    _totals_agree(store)
+    assert store.roll_up() == 1
+    _totals_agree(store)
+    assert len(list(Path(store.root).glob("month_totals/*/version=*"))) == 3
+    assert len(list(Path(store.root).glob("all_totals/version=*"))) == 1
+
+
+def test_totals_made_during_a_batch_do_not_count(spark, store, monkeypatch):
+    _batches(spark, store, [("a", ONE)], [("x", "2026-04-01T10:00:00Z")])
+    store.roll_up()
+    record = EventStore.record_run
+
+    def made_meanwhile(self, **fields):
+        assert store.roll_up() == 1
+        record(self, **fields)
+
+    monkeypatch.setattr(EventStore, "record_run", made_meanwhile)
+    store.publish_batch(split_valid(parse_events(messages_df(spark, [wire("b", timestamp=ONE)])))[0], 2)
+    assert kpi_totals(store.product_totals()).first().total_events == 3
+    _totals_agree(store)
+
+
+# --- checks -----------------------------------------------------------------------------------
+
+
+def test_checks_read_changed_days_only(spark, store, monkeypatch):
+    from clickfold.plans.jobs import run_checks
+
+    _batches(spark, store, [("a", ONE)], [("b", TWO)])
+    read, seen = EventStore.raw_events, []
+    monkeypatch.setattr(
+        EventStore, "raw_events", lambda self, up_to=None, days=None: seen.append(days) or read(self, up_to, days)
+    )
+    assert run_checks(store) == 0 and seen == [None]
+    assert run_checks(store) == 0 and seen[-1] == []
+    # A copy comes in on a new day.
+    values = [wire("c", timestamp="2026-03-03T10:00:00Z")] * 2
+    store.publish_batch(split_valid(parse_events(messages_df(spark, values)))[0], 2)
+    for _ in range(2):
+        assert run_checks(store) == 1 and seen[-1] == ["2026-03-03"]
+    # A compacted day counts as changed while it has an unchecked batch.
+    store.publish_batch(split_valid(parse_events(messages_df(spark, values[:1])))[0], 2)
+    store.publish_batch(split_valid(parse_events(messages_df(spark, [wire("d", timestamp=ONE)])))[0], 3)
+    store.compact_files(dt.date(2026, 3, 2))
+    assert run_checks(store) == 0 and seen[-1] == ["2026-03-01", "2026-03-03"]
+    assert store.replace_day(dt.date(2026, 3, 2))
+    assert run_checks(store) == 0 and seen[-1] == ["2026-03-02"]
+    assert run_checks(store, full=True) == 0 and seen[-1] is None
+    assert run_checks(store, dt.date(2026, 3, 1)) == 0 and seen[-1] == ["2026-03-01"]
+
+
+# --- rejected messages ------------------------------------------------------------------------
+
+
+def test_rejected_messages_are_replayed(log, store, root):
+    broken = wire("b", timestamp="soon")
+    log.send([wire("a"), broken, "junk", broken])
+    run_available(log.stream(), store, f"{root}/cp")
+    assert store.rejected_events().count() == 3
+    # Nothing was mended: all three are rejected again, under the replay's number.
+    assert store.replay_rejected() == (3, 3)
+    assert store.rejected_events().count() == 3
+    assert store.last_landed() == 0
+
+    def mend(messages):
+        return messages.withColumn("value", F.regexp_replace("value", '"soon"', '"2026-03-02T10:00:00Z"'))
+
+    assert store.replay_rejected(mend) == (3, 1)
+    run_available(log.stream(), store, f"{root}/cp")
+    assert ids(store.raw_events()) == ["a", "b"]
+    assert [r.raw_value for r in store.rejected_events().collect()] == ["junk"]
+    # Replaying again, or the message itself in good shape, adds no copy.
+    assert store.replay_rejected(mend) == (1, 1)
+    log.send([wire("b", timestamp="2026-03-02T10:00:00Z"), wire("c")])
+    run_available(log.stream(), store, f"{root}/cp")
+    assert ids(store.raw_events()) == ["a", "b", "c"]
+    assert [r.total_views for r in store.product_metrics().collect()] == [2, 1]
+    # Messages of replays count for no topic twice.
+    store.record_topic_stats(T0)
+    assert [r.message_count for r in store.topic_history().collect()] == [6]
+
+
+def test_a_replay_that_was_cut_off_is_repeated(spark, store, monkeypatch):
+    store.land_batch(messages_df(spark, [wire("a", timestamp="soon"), "junk"]), 0)
+
+    def mend(messages):
+        return messages.withColumn("value", F.regexp_replace("value", '"soon"', '"2026-03-02T10:00:00Z"'))
+
+    import clickfold.streaming.store as module
+
+    for broken in ("rejected_events", "drop"):
+        with monkeypatch.context() as patch:
+            if broken == "drop":
+                patch.setattr(module, "put_marker", lambda *a: 1 / 0)
+            else:
+                patch.setattr(EventStore, "rejected_events", lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                store.replay_rejected(mend)
+    store.replay_rejected(mend)
+    assert [(r.raw_value, r.batch_id) for r in store.rejected_events().collect()] == [("junk", REPLAYS)]
+    assert [p.name for p in sorted(Path(store.landing_path).glob("batch_id=*"))] == [f"batch_id={REPLAYS}"]
+
+
+def test_old_rejects_are_pruned(spark, store):
+    for number, day in enumerate((1, 2, 3)):
+        store.land_batch(messages_df(spark, ["junk", f"junk {day}"]), number, now=dt.datetime(2026, 3, day, 12))
+    # A repeat on another day leaves one attempt.
+    store.land_batch(messages_df(spark, ["junk"]), 2, now=dt.datetime(2026, 3, 4))
+    assert store.rejected_events().count() == 5
+    assert store.rejected_events(["2026-03-04"]).count() == 1
+    assert store.prune_rejected(dt.date(2026, 3, 2)) == 2
+    assert store.rejected_events().count() == 3
+    assert store.replay_rejected(days=["2026-03-02"], now=dt.datetime(2026, 3, 9)) == (2, 2)
+    assert sorted(str(r.rejected_on) for r in store.rejected_events().collect()) == [
+        "2026-03-04", "2026-03-09", "2026-03-09",
+    ]
