@@ -24,8 +24,10 @@ ROUNDS = 5
 SALT = 2
 #: Vectors in a block.
 BLOCK = 256
-#: Bits of a component that the Hilbert key sees.
-BITS = 3
+#: The curve runs through the space of the main directions in which the first centroids lie
+#: apart, with so many bits per direction; boxes have all dimensions.
+AXES = 8
+BITS = 6
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -80,18 +82,32 @@ def assign(x: np.ndarray, centroids: np.ndarray, candidates: np.ndarray) -> tupl
     return candidates[nearest], away[np.arange(len(x)), nearest].astype(np.int64)
 
 
-def _keyed(vectors: DataFrame, low: np.ndarray, high: np.ndarray) -> DataFrame:
-    """(vec_id, q, key): the vectors with their place on the curve. ``low`` and ``high`` bound
-    the grid; what lies outside counts as on its edge."""
-    wide = np.maximum(high - low + 1, 1)
+def directions(centroids: np.ndarray, axes: int = AXES) -> np.ndarray:
+    """The main directions of the centroids' differences, as columns."""
+    x = centroids.astype(np.float64)
+    return np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:axes].T
+
+
+def curve_keys(x: np.ndarray, centroids: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Keys of vectors on the curve. The grid spans the centroids; what lies outside counts as
+    on its edge. The order only decides how tight the boxes are, never a result."""
+    corners = centroids @ turn
+    low = corners.min(axis=0)
+    wide = np.maximum(corners.max(axis=0) - low, 1.0)
+    cells = np.clip((x @ turn - low) / wide * (1 << BITS), 0, (1 << BITS) - 1)
+    return hilbert_keys(cells.astype(np.uint32))
+
+
+def _keyed(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(vec_id, q, key): the vectors with their place on the curve."""
+    turn = directions(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("q")).astype(np.int64)
+            x = matrix(batch.column("q"))
             if not len(x):
                 continue
-            cells = np.clip((x - low) * (1 << BITS) // wide, 0, (1 << BITS) - 1)
-            keys = pa.array([k.tobytes() for k in hilbert_keys(cells)], pa.binary())
+            keys = pa.array([k.tobytes() for k in curve_keys(x, centroids, turn)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["vec_id", "q", "key"])
 
     return vectors.mapInArrow(run, "vec_id long, q array<int>, key binary")
@@ -204,7 +220,7 @@ def cluster_vectors(
     current = np.array([r.q for r in first.collect()], np.int64).reshape(-1, dimension)
     if not len(current):
         return spark.createDataFrame([], _RESULT)
-    keyed = _keyed(vectors, current.min(axis=0), current.max(axis=0))
+    keyed = _keyed(vectors, current.copy())
     # The mix deals out copies of one vector, which have one place on the curve.
     mixed = keyed.withColumn("mix", F.xxhash64("vec_id", F.monotonically_increasing_id()))
     ordered = mixed.repartitionByRange("key", "mix").sortWithinPartitions("key", "mix")

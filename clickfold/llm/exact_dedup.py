@@ -126,17 +126,26 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (id, text_hash): one of each, with all columns.
 
-    Rows of one id and one text are the same document and give one row.
+    Rows of one id and one text are the same document and give one row. Both steps are keyed
+    by the same three columns, so that a document moves once.
     """
     columns = [f"c{i}" for i in range(len(docs.columns))]
+    keys = ["key_id", "key_null", "key_hash"]
+
+    def keyed(df: DataFrame, row_id: Column, text_hash: Column, *rest: Column) -> DataFrame:
+        # Plain equality in place of a null-safe one, whose expressions would be dealt anew.
+        no_id = row_id.isNull()
+        return df.select(
+            F.when(no_id, F.lit(0)).otherwise(row_id).alias("key_id"),
+            no_id.alias("key_null"),
+            text_hash.alias("key_hash"),
+            *rest,
+        )
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = docs.select(
-        F.col(id_col).alias("key_id"),
-        F.xxhash64(text).alias("key_hash"),
-        F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns))).alias("held"),
-    )
-    wanted = kept.toDF("want_id", "want_hash").distinct()
-    same = F.col("key_id").eqNullSafe(F.col("want_id")) & (F.col("key_hash") == F.col("want_hash"))
-    found = held.join(wanted, same, "left_semi")
-    one = found.dropDuplicates(["key_id", "key_hash"])
+    row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)))
+    held = keyed(docs, F.col(id_col), F.xxhash64(text), row.alias("held"))
+    wanted = kept.toDF("want_id", "want_hash")
+    wanted = keyed(wanted, F.col("want_id"), F.col("want_hash")).distinct()
+    one = held.join(wanted, keys, "left_semi").dropDuplicates(keys)
     return one.select(*(F.col(f"held.{n}").alias(c) for c, n in zip(docs.columns, columns)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clickfold.llm.scratch import Scratch
 
-#: Parts whose starts are at most this many code points apart belong together.
+#: Parts with at most this many code points between them belong together.
 SCOPE = 200
 
 # The kinds that always count.
@@ -30,12 +30,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 
-# The weak kinds. A key-like word has letters of both cases and digits.
+# The weak kinds. A key-like word is a whole run, however long, in either base64 alphabet, and
+# has letters of both cases and digits.
 LOGIN = re.compile(
     r"""\b(?:user(?:name)?|login|account|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]+""",
     re.IGNORECASE | re.ASCII,
 )
-KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
 KEY_PARTS = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?")
 
@@ -123,13 +124,17 @@ def _by_kind(values: dict[str, str]) -> Column:
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """The weak parts whose complementary parts start within :data:`SCOPE`.
+    """The weak parts that have each complementary part at most :data:`SCOPE` before or behind.
 
     An equality join on document, role and stretch of text, with the interval as condition.
-    Each weak part asks for each role it needs in three stretches and is answered at most
-    once each, however many parts lie there.
+    A weak part asks in the stretches from one before its start to one behind its end; any other
+    answers where it starts and where it ends. Each role is answered at most once a stretch,
+    however many parts lie there.
     """
-    bucket = F.floor(F.col("start") / SCOPE)
+
+    def bucket(column: str) -> Column:
+        return F.floor(F.col(column) / SCOPE)
+
     needs = F.create_map(
         *(x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*(F.lit(r) for r in v))))
     )
@@ -137,19 +142,23 @@ def linked(parts: DataFrame) -> DataFrame:
         parts.filter(F.col("kind").isin(*NEEDS))
         .withColumn("needed", needs[F.col("kind")])
         .withColumn("role", F.explode("needed"))
-        .withColumn("bucket", F.explode(F.sequence(bucket - 1, bucket + 1)))
+        .withColumn("bucket", F.explode(F.sequence(bucket("start") - 1, bucket("end") + 1)))
     )
+    ends = F.array_distinct(F.array(bucket("start"), bucket("end")))
     offering = parts.filter(F.col("kind").isNotNull()).select(
         F.col("row").alias("o_row"),
         _by_kind(ROLES).alias("o_role"),
-        bucket.alias("o_bucket"),
+        F.explode(ends).alias("o_bucket"),
         F.col("start").alias("o_start"),
+        F.col("end").alias("o_end"),
     )
+    behind = F.col("o_start") - F.col("end")
+    before = F.col("start") - F.col("o_end")
     near = (
         (F.col("row") == F.col("o_row"))
         & (F.col("role") == F.col("o_role"))
         & (F.col("bucket") == F.col("o_bucket"))
-        & (F.abs(F.col("start") - F.col("o_start")) <= SCOPE)
+        & (behind.between(0, SCOPE) | before.between(0, SCOPE))
     )
     answered = asking.join(offering, near, "left_semi")
     return (

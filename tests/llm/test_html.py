@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -68,12 +69,43 @@ def test_repeated_runs_equal_brute_force():
             stream = random.integers(0, 6, random.integers(0, 30)).tolist()
             stream += shared[random.integers(3)] + random.integers(0, 6, 5).tolist()
             streams.append(stream)
-        ids, pages = [], []
-        for n, stream in enumerate(streams):
-            ids += [*stream, 100 + n]
-            pages += [n] * (len(stream) + 1)
-        got = html_text.repeated_tokens(np.array(ids), np.array(pages))
-        assert got.tolist() == repeated_by_hand(streams)
+        read = [html_text.Page(" ".join(map(str, stream)), "0") for stream in streams]
+        covered = [np.zeros(len(stream), bool) for stream in streams]
+        for n, start, length, article, key, _ in html_text.marks_of(read, True):
+            assert not article and key is None
+            covered[n][start : start + length] = True
+        got = [x for c in covered for x in [*c.tolist(), False]]
+        assert got == repeated_by_hand(streams)
+
+
+def test_stretches_add_up_to_the_whole_host():
+    """Marks of the parts of a host, keys counted over all of them, are those of the whole."""
+    random = np.random.default_rng(6)
+    lines = [" ".join(f"w{i}" for i in random.integers(0, 40, 12)) for _ in range(4)]
+    lines += ["short line", "other"]
+    pages = []
+    for n in range(24):
+        picked = random.choice(lines, 3, replace=False).tolist()
+        blocks = [*picked, f"page {n} of its own with some more words here", "the same in articles"]
+        where = "".join(random.choice(list("01m"), len(blocks) - 1)) + "1"
+        pages.append(html_text.Page("\n".join(blocks), where))
+    whole = {
+        (n, t, article)
+        for n, start, length, article, _, _ in html_text.marks_of(pages, True)
+        for t in range(start, start + length)
+    }
+    parts, counts, rows = [range(0, 5), range(5, 6), range(6, 24)], {}, []
+    for part in parts:
+        for n, *mark, key, on in html_text.marks_of([pages[i] for i in part], False):
+            rows.append((part[n], *mark, key))
+            counts[key] = counts.get(key, 0) + on
+    added = {
+        (n, t, article)
+        for n, start, length, article, key in rows
+        if key is None or html_text._common(counts[key], len(pages), article)
+        for t in range(start, start + length)
+    }
+    assert added == whole and any(a for *_, a in whole)
 
 
 def test_suffix_array_is_sorted():
@@ -93,13 +125,63 @@ def test_repeated_blocks_go_where_markup_says_nothing():
     # On two pages only it stays, and copies of a page are one page.
     assert line in html_text.main_texts(pages[:2])[0]
     assert line in html_text.main_texts([pages[0]] * 9)[0]
-    inside = [f"<article><p>{line}</p><p>page {i}</p></article>" for i in range(5)]
-    assert html_text.main_texts(inside) == [f"{line}\n\npage {i}" for i in range(5)]
+
+
+LINE = "Sign up for the letter that we send on Mondays"
+
+
+def test_a_line_of_nearly_all_articles_goes():
+    def inside(n, with_line):
+        return [
+            f"<article><p>page {i} tells this</p>{f'<p>{LINE}</p>' * (i < with_line)}</article>"
+            for i in range(n)
+        ]
+
+    assert html_text.main_texts(inside(10, 10)) == [f"page {i} tells this" for i in range(10)]
+    assert html_text.main_texts(inside(10, 8)) == [f"page {i} tells this" for i in range(10)]
+    # A quotation in some articles stays, as does a line of few pages.
+    assert html_text.main_texts(inside(10, 7))[0] == f"page 0 tells this\n\n{LINE}"
+    assert html_text.main_texts(inside(7, 7))[0] == f"page 0 tells this\n\n{LINE}"
+    # Pages that differ outside the article alone are copies of one text.
+    copies = [f"<p>{i}</p><article><p>{LINE}</p></article>" for i in range(20)]
+    assert html_text.main_texts(copies) == [LINE] * 20
+
+
+def test_a_teaser_does_not_hide_the_story():
+    story = "The story itself is long enough to be told from the rest"
+    page = f"<div>Home</div><main><article>teaser</article><div><h2>Title</h2><p>{story}</div></main><p>x</p>"
+    assert text_of(page) == f"teaser\n\nTitle\n\n{story}"
+    # What repeats on the host is no story.
+    pages = [f"<article>teaser {i}</article><div>{story}</div>" for i in range(3)]
+    assert html_text.main_texts(pages) == [f"teaser {i}" for i in range(3)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a" + "n" * 1_000_000,
+        "<a " * 300_000,
+        "<a '" * 250_000,
+        '<a ">x" ' * 120_000,
+        "<a b='" + "<p " * 300_000,
+        "<!--" * 250_000,
+        "<script" * 140_000,
+        "<script>" * 125_000,
+        "</script " * 100_000 + " " * 100_000,
+        "<p>" * 300_000,
+        "<b>" * 300_000,
+        "<div><p>" * 100_000 + "</p>" * 100_000,
+    ],
+)
+def test_a_megabyte_of_open_markup_is_linear(page):
+    started = time.process_time()
+    text_of(page)
+    assert time.process_time() - started < 10
 
 
 def _pages(spark, rows):
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
-    return table.withColumns({c: F.lit("clash") for c in ("id", "host", "part", "parts", "mix", "text")})
+    return table.withColumns({c: F.lit("clash") for c in ("id", "host", "part", "parts", "mix", "size", "text", "marks", "key", "start")})
 
 
 def test_awkward_rows(spark):
@@ -117,13 +199,26 @@ def test_awkward_rows(spark):
     assert html_text.extract_main_text(_pages(spark, rows).limit(0)).count() == 0
 
 
-def test_large_hosts_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "GROUP_PAGES", 20)
-    monkeypatch.setattr(html_text, "CHUNK_CHARS", 2_000)
+@pytest.mark.parametrize("sizes", [(20, 2_000), (1_000, 4_000_000)])
+def test_results_do_not_depend_on_grouping(spark, monkeypatch, sizes):
+    monkeypatch.setattr(html_text, "GROUP_PAGES", sizes[0])
+    monkeypatch.setattr(html_text, "CHUNK_CHARS", sizes[1])
     line = "The same legal notice stands on each and every page"
-    rows = [(i, "http://one.host/", f"<p>{line}</p><p>page number {i}</p>") for i in range(300)]
+    seldom = "A notice that only three pages of this host have got in all"
+    rows = [
+        (i, "http://one.host/", f"<p>{line}</p><p>page number {i}</p>" + f"<p>{seldom}</p>" * (i % 100 == 0))
+        for i in range(300)
+    ]
+    # Copies of one page, and a host where the notice is on two pages only.
+    rows += [(1000 + i, "http://one.host/c", f"<p>{seldom}</p><p>copied</p>") for i in range(150)]
+    rows += [(2000 + i, "http://two.host/", f"<p>{seldom}</p><p>other {i}</p>") for i in range(2)]
+    rows += [(3000 + i, "http://a.host/", f"<article><p>{LINE}</p>text {i}</article>") for i in range(40)]
     got = html_text.extract_main_text(_pages(spark, rows)).collect()
-    assert sorted((r.page_id, r.text) for r in got) == [(i, f"page number {i}") for i in range(300)]
+    want = [(i, f"page number {i}") for i in range(300)]
+    want += [(1000 + i, "copied") for i in range(150)]
+    want += [(2000 + i, f"{seldom}\n\nother {i}") for i in range(2)]
+    want += [(3000 + i, f"text {i}") for i in range(40)]
+    assert sorted((r.page_id, r.text) for r in got) == want
 
 
 def test_articles_of_the_given_pages(spark):

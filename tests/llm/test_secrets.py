@@ -49,9 +49,15 @@ LINKED = [
     (42, f"{ACCESS} " + "far " * 100 + KEY),
     (43, "login: bob password: hunter22 https://db.example.com"),
     (44, "login: bob, nothing else"),
-    (45, f"é{ACCESS}é" + " " * (secrets.SCOPE - 40) + KEY),
+    (45, f"é{ACCESS}é" + " " * (secrets.SCOPE - 1) + KEY),
     (46, f"{KEY} {ACCESS} " * 3000),
     (47, f"token={KEY} login: x"),
+    (48, "login: bob " + KEY * 2 + "12345678=="),
+    (49, "login: bob key=" + KEY.replace("I", "-").replace("E", "_")),
+    (50, "password: " + "s3cret" * 45 + " login: bob"),
+    (51, f"{KEY}" + "x" * 70_000 + " login: bob"),
+    (52, f"login: {KEY}"),
+    (53, "login: bob" + " " * (secrets.SCOPE + 1) + KEY),
 ]
 
 
@@ -68,7 +74,11 @@ def linked_by_hand(text):
     parts = base + weak
     kept = list(base)
     for kind, start, end in weak:
-        near = {secrets.ROLES[k] for k, s, _ in parts if abs(s - start) <= secrets.SCOPE}
+        near = {
+            secrets.ROLES[k]
+            for k, s, e in parts
+            if 0 <= s - end <= secrets.SCOPE or 0 <= start - e <= secrets.SCOPE
+        }
         if set(secrets.NEEDS[kind]) <= near:
             kept.append((kind, start, end))
     order = sorted((s, secrets.ORDER.index(k), k, e) for k, s, e in kept)
@@ -85,6 +95,13 @@ def test_weak_parts_count_only_beside_complements(spark):
     assert kinds[43] == {"login", "assign", "endpoint"}
     assert kinds[44] == set()
     assert kinds[47] == {"assign", "login"}
+    # Keys of 88 characters, in the other alphabet, or of 70,000 are runs like others.
+    assert kinds[48] == kinds[49] == kinds[51] == {"login", "key"}
+    assert got[48] == "login:0:10,key:11:101"
+    # The gap counts from the end of a part, and a part is no complement of itself.
+    assert kinds[50] == {"assign", "login"}
+    assert kinds[45] == {"access", "key"}
+    assert kinds[52] == kinds[53] == set()
 
 
 def test_every_row_has_a_result(spark):
