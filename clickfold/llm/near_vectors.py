@@ -19,14 +19,16 @@ from clickfold.llm.components import component_roots
 from clickfold.llm.scratch import Scratch
 
 COSINE = 0.95
-TABLES = 6
+#: Hash tables by the number of hashes in a table: more hashes make buckets smaller and rarer
+#: for a near pair to share, so that it takes more tables.
+TABLES = {1: 6, 2: 6, 3: 6, 4: 8, 5: 12, 6: 20}
 #: Buckets a vector asks in each table, its own included.
 PROBES = 4
 SEED = 7
 #: Vectors a bucket holds on average at most; more vectors take one more hash per table.
 FILL = 16
-#: A bucket that takes in more rows than this (or than one in 1000 of all, if that is more)
-#: is worked on in blocks; at most 1000 buckets can be so large.
+#: A bucket that takes in more rows than this is worked on in pairs of blocks, each of about
+#: so many; a task compares two blocks at a time, however many vectors there are.
 BLOCK = 2000
 #: Rows compared with a whole block at a time.
 STRIP = 512
@@ -51,8 +53,9 @@ class CrossPolytope:
     def __init__(self, dimension: int, hashes: int):
         self.size = max(2, 1 << (dimension - 1).bit_length())
         self.hashes = hashes
+        self.tables = TABLES[hashes]
         random = np.random.default_rng(SEED)
-        self.signs = random.choice([-1.0, 1.0], (TABLES, hashes, 3, self.size))
+        self.signs = random.choice([-1.0, 1.0], (self.tables, hashes, 3, self.size))
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables, probes) bucket numbers; the first probe is the own bucket.
@@ -63,9 +66,9 @@ class CrossPolytope:
         padded = np.zeros((len(x), self.size))
         padded[:, : x.shape[1]] = x
         at = np.arange(len(x))
-        out = np.empty((len(x), TABLES, PROBES), np.int64)
+        out = np.empty((len(x), self.tables, PROBES), np.int64)
         kept = min(PROBES, 2 * self.size)
-        for t in range(TABLES):
+        for t in range(self.tables):
             own = np.zeros(len(x), np.int64)
             losses, steps = [], []
             for k in range(self.hashes):
@@ -97,52 +100,40 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spread(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    mixed = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (mixed % blocks.astype(np.uint64)).astype(np.int64)
-
-
-def _probe_rows(hasher: CrossPolytope, large: dict[int, int]):
-    """(key, pair, own, block, id, size, v): a row for every bucket a vector asks, and for
-    every pair of blocks its block is in where the bucket is large."""
-    keys = np.array(sorted(large), np.int64)
-    blocks = np.array([large[k] for k in sorted(large)], np.int64)
+def _probe_rows(hasher: CrossPolytope):
+    """(key, own, id, size, v): a row for every bucket a vector asks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             asked = hasher.buckets(_unit(batch["v"]))
-            ids = batch["id"].to_numpy(np.int64)
-            for t in range(TABLES):
+            for t in range(hasher.tables):
                 for p in range(PROBES):
-                    key = asked[:, t, p] * TABLES + t
-                    n = np.ones(len(key), np.int64)
-                    if len(keys):
-                        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        n = np.where(keys[at] == key, blocks[at], 1)
-                    mine = _spread(ids, n)
-                    copy = np.repeat(np.arange(len(ids)), n)
-                    other = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
-                    low, high = np.minimum(mine[copy], other), np.maximum(mine[copy], other)
-                    yield pd.DataFrame(
-                        {
-                            "key": key[copy],
-                            "pair": (high << PAIR_BITS) + low,
-                            "own": p == 0,
-                            "block": mine[copy],
-                            "id": ids[copy],
-                            "size": batch["size"].to_numpy(np.int64)[copy],
-                            "v": batch["v"].to_numpy()[copy],
-                        }
-                    )
+                    key = asked[:, t, p] * hasher.tables + t
+                    yield pd.DataFrame({"key": key, "own": p == 0, **batch})
 
     return run
 
 
+def _block_pairs(asked: DataFrame, large: DataFrame | None) -> DataFrame:
+    """``asked`` with ``block`` and ``pair``: a row in a large bucket goes to every pair of
+    blocks that its block is in."""
+    none = F.lit(0).cast("long")
+    if large is None:
+        return asked.withColumns({"block": none, "pair": none})
+    blocks = F.coalesce("blocks", F.lit(1)).cast("long")
+    told = asked.join(large, "key", "left").withColumn("blocks", blocks)
+    placed = told.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    met = placed.withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
+    high, low = F.greatest("block", "other"), F.least("block", "other")
+    return met.withColumn("pair", high * F.lit(1 << PAIR_BITS) + low).drop("blocks", "other")
+
+
 def _first_meeting(a: np.ndarray, b: np.ndarray, a_smaller: np.ndarray) -> np.ndarray:
     """Key of the first bucket in which each pair meets, from their asked buckets (pairs,
     tables, probes). In a table, the own bucket of the smaller id goes first."""
+    tables = a.shape[1]
     own = np.where(a_smaller[:, None], a[:, :, 0], b[:, :, 0])
     own_other = np.where(a_smaller[:, None], b[:, :, 0], a[:, :, 0])
     asked = np.where(a_smaller[:, None, None], a, b)
@@ -152,7 +143,7 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, a_smaller: np.ndarray) -> np.nd
     table = (in_own | in_other).argmax(axis=1)
     row = np.arange(len(a))
     bucket = np.where(in_own[row, table], own[row, table], own_other[row, table])
-    return bucket * TABLES + table
+    return bucket * tables + table
 
 
 def _linked(hasher: CrossPolytope, cosine: float):
@@ -288,7 +279,7 @@ def near_vectors(
     )
     links = None
     for dimension in [r[0] for r in nodes.select(F.size("v")).distinct().collect()]:
-        found = _links_of(nodes.filter(F.size("v") == dimension), dimension, cosine)
+        found = _links_of(nodes.filter(F.size("v") == dimension), dimension, cosine, scratch)
         links = found if links is None else links.unionByName(found)
     if links is None:
         links = spark.createDataFrame([], "id long, root long, found long")
@@ -320,26 +311,38 @@ def near_vectors(
     )
 
 
-def _links_of(nodes: DataFrame, dimension: int, cosine: float) -> DataFrame:
-    total = nodes.count()
+def _hashes_for(total: int, dimension: int) -> int:
     hashes, per_hash = 1, 2 * max(2, 1 << (dimension - 1).bit_length())
-    while per_hash**hashes * FILL < total and per_hash ** (hashes + 1) * TABLES < 1 << 62:
+    while (
+        per_hash**hashes * FILL < total
+        and hashes + 1 in TABLES
+        and per_hash ** (hashes + 1) * TABLES[hashes + 1] < 1 << 62
+    ):
         hashes += 1
-    hasher = CrossPolytope(dimension, hashes)
+    return hashes
+
+
+def _links_of(nodes: DataFrame, dimension: int, cosine: float, scratch: Scratch) -> DataFrame:
+    hasher = CrossPolytope(dimension, _hashes_for(nodes.count(), dimension))
+    tables = hasher.tables
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                asked = hasher.buckets(_unit(batch["v"])) * TABLES
-                yield pd.DataFrame({"key": (asked + np.arange(TABLES)[:, None]).reshape(-1)})
+                asked = hasher.buckets(_unit(batch["v"])) * tables
+                yield pd.DataFrame({"key": (asked + np.arange(tables)[:, None]).reshape(-1)})
 
-    bound = max(BLOCK, total * TABLES * PROBES // 1000)
     counts = nodes.select("v").mapInPandas(keys, "key long").groupBy("key").count()
-    large = {
-        r["key"]: -(-r["count"] // bound) for r in counts.filter(F.col("count") > bound).collect()
-    }
+    large = counts.filter(F.col("count") > BLOCK).select(
+        "key", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")
+    )
+    # Stored: small where few buckets are large, and then sent to the tasks by Spark.
+    large = scratch.put(large, f"large-buckets-{dimension}")
     kind = nodes.schema["v"].dataType.simpleString()
-    schema = f"key long, pair long, own boolean, block long, id long, size long, v {kind}"
-    asked = nodes.select("id", "size", "v").mapInPandas(_probe_rows(hasher, large), schema)
-    met = asked.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    asked = nodes.select("id", "size", "v").mapInPandas(
+        _probe_rows(hasher), f"key long, own boolean, id long, size long, v {kind}"
+    )
+    rows = _block_pairs(asked, None if large.isEmpty() else large)
+    columns = ("key", "pair", "own", "block", "id", "size", "v")
+    met = rows.select(*columns).repartition("key", "pair").sortWithinPartitions("key", "pair")
     return met.mapInPandas(_linked(hasher, cosine), "id long, root long, found long")

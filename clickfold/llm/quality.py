@@ -285,9 +285,10 @@ def drop_low_quality(
     is shuffled.
     """
     known = labels.select(F.col(id_col).cast("long").alias("known_id")).distinct()
+    # Held-out rows teach nothing; a join to leave out more would move all texts.
     labelled = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text")
-    ).filter(F.col("id").isNotNull())
+    ).filter(F.col("id").isNotNull() & ~is_held_out(F.col("id").cast("long")))
     statistics = statistics_table(labelled, "id", "text").join(
         known, F.col("id") == F.col("known_id"), "left_semi"
     )
@@ -295,7 +296,8 @@ def drop_low_quality(
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:
-        kept = [model.score(np.array([text_statistics(t)]))[0] >= 0.5 for t in text]
-        return pd.Series(kept, dtype=bool)
+        if not len(text):
+            return pd.Series([], dtype=bool)
+        return pd.Series(model.score(np.array([text_statistics(t) for t in text])) >= 0.5)
 
     return docs.filter(good(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickfold.llm.components import component_roots
@@ -24,9 +24,8 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 HALF = 32
-#: A half held by more fingerprints than this (or than one in 1000 of all, if that is more)
-#: is worked on in blocks. At most 1000 values a half are so large, which bounds what each
-#: task is told about them.
+#: A variant held by more fingerprints than this is worked on in pairs of blocks, each of about
+#: so many; a task compares two blocks at a time, however many fingerprints there are.
 BLOCK = 4096
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -78,48 +77,68 @@ def _halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits >> np.uint64(HALF), bits & _LOW
 
 
-def large_halves(distinct: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys (half number above the half's value) held by very many fingerprints, and
-    the number of blocks each is worked on in."""
-    halves = F.array(
-        F.shiftrightunsigned("fp", HALF),
-        F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1)) + F.lit(1 << HALF),
+def _half_keys() -> Column:
+    """Both halves of ``fp`` as (number, value) structs."""
+    low = F.lit((1 << HALF) - 1)
+    values = (F.shiftrightunsigned("fp", HALF), F.col("fp").bitwiseAND(low))
+    return F.array(
+        *(F.struct(F.lit(n).alias("number"), v.alias("value")) for n, v in enumerate(values))
+    )
+
+
+def _variants(half: Column) -> Column:
+    """Keys of a half: with each bit masked, and whole. A key names the half, the masked bit
+    (32: none) and what is left."""
+
+    def key(bit: int) -> Column:
+        value = half["value"]
+        if bit < HALF:
+            value = value.bitwiseOR(F.lit(1 << bit))
+        return ((half["number"] * (HALF + 1) + F.lit(bit)).cast("long") * F.lit(1 << HALF)) + value
+
+    return F.array(*(key(bit) for bit in range(HALF + 1)))
+
+
+def large_keys(distinct: DataFrame) -> DataFrame:
+    """(key, blocks) of the variants held by more than :data:`BLOCK` fingerprints: added up
+    from the halves, of which only those that hold enough can make up such a variant."""
+    counts = (
+        distinct.select(F.explode(_half_keys()).alias("half"))
+        .groupBy("half")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # A masked variant is two halves at most, so the larger has half of what it takes.
+    some = counts.filter(F.col("n") > BLOCK // 2)
+    keys = some.select(F.explode(_variants(F.col("half"))).alias("key")).distinct()
+    near = counts.select(F.explode(_variants(F.col("half"))).alias("key"), "n")
+    held = near.join(keys, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
+    return held.filter(F.col("n") > BLOCK).select(
+        "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")
+    )
+
+
+def indexed(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, pair, fp): every fingerprint under all its variants; under a large variant once
+    for every pair of blocks that its block is in."""
+    some = distinct.select(F.explode(_half_keys()).alias("half")).groupBy("half").count()
+    if some.filter(F.col("count") > BLOCK // 2).isEmpty():
+        large = None
+    else:
+        # Stored: small where few variants are large, and then sent to the tasks by Spark.
+        large = scratch.put(large_keys(distinct), "large-variants")
+    halves = distinct.select("fp", F.explode(_half_keys()).alias("half"))
+    rows = halves.select("fp", F.explode(_variants(F.col("half"))).alias("key"))
+    if large is None:
+        return rows.select("key", F.lit(0).cast("long").alias("pair"), "fp")
+    blocks = F.coalesce("blocks", F.lit(1)).cast("long")
+    told = rows.join(large, "key", "left").select("key", "fp", blocks.alias("blocks"))
+    mine = told.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    met = mine.select("key", "fp", "mine", F.explode(every).alias("other"))
+    high, low = F.greatest("mine", "other"), F.least("mine", "other")
+    return met.select("key", (high * (high + 1) / 2).cast("long").alias("pair"), "fp", low.alias("low")).select(
+        "key", (F.col("pair") + F.col("low")).alias("pair"), "fp"
     )
-    bound = max(BLOCK, distinct.count() // 1000)
-    counts = distinct.select(F.explode(halves).alias("half")).groupBy("half").count()
-    large = counts.filter(F.col("count") > bound).orderBy("half").collect()
-    blocks = [-(-row["count"] // bound) for row in large]
-    return np.array([row["half"] for row in large], np.int64), np.array(blocks, np.int64)
-
-
-def variant_keys(
-    fps: np.ndarray, large: np.ndarray, blocks: np.ndarray
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, pair, fp) arrays. ``key`` names the half, the masked bit (32: none) and what is
-    left; ``pair`` the two blocks of a large half that meet, 0 for others."""
-
-    def blocks_of(half: np.ndarray) -> np.ndarray:
-        if not len(large):
-            return np.ones(len(half), np.int64)
-        at = np.minimum(np.searchsorted(large, half), len(large) - 1)
-        return np.where(large[at] == half, blocks[at], 1)
-
-    spread = (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    for number, half in enumerate(_halves(fps)):
-        half = half.astype(np.int64)
-        own = blocks_of(half + (number << HALF))
-        for bit in range(HALF + 1):
-            if bit < HALF:
-                value = half | (1 << bit)
-                n = np.maximum(own, blocks_of((half ^ (1 << bit)) + (number << HALF)))
-            else:
-                value, n = half, own
-            key = ((number * (HALF + 1) + bit) << HALF) + value
-            mine = (spread % n.astype(np.uint64)).astype(np.int64)
-            copies = np.repeat(np.arange(len(fps)), n)
-            other = np.arange(len(copies)) - np.repeat(np.cumsum(n) - n, n)
-            low, high = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
-            yield key[copies], high * (high + 1) // 2 + low, fps[copies]
 
 
 def close_groups(fps: np.ndarray) -> np.ndarray:
@@ -187,20 +206,11 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield of_runs(*kept)
 
 
-def close_links(distinct: DataFrame) -> DataFrame:
+def close_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) links between the distinct ``fp`` values, enough to connect all that are
     connected by links of at most three bits."""
-    large, blocks = large_halves(distinct)
-
-    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = batch["fp"].to_numpy(np.int64)
-            for key, pair, fp in variant_keys(fps, large, blocks):
-                yield pd.DataFrame({"key": key, "pair": pair, "fp": fp})
-
-    indexed = distinct.mapInPandas(variants, "key long, pair long, fp long")
-    met = indexed.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")
-    return met.mapInPandas(_links, "u long, v long")
+    met = indexed(distinct, scratch).repartition("key", "pair")
+    return met.sortWithinPartitions("key", "pair", "fp").mapInPandas(_links, "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +226,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.put(fingerprints(docs, id_col, text_col), "fingerprints")
     first = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    links = scratch.put(close_links(rows.select("fp").distinct()).distinct(), "links")
+    distinct = scratch.put(rows.select("fp").distinct(), "distinct")
+    links = scratch.put(close_links(distinct, scratch).distinct(), "links")
     roots = component_roots(links, scratch).withColumnsRenamed({"node": "fp"})
     placed = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))

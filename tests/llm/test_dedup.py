@@ -149,13 +149,37 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     fps = _near_fingerprints(300, 3)
     distinct = spark.createDataFrame([(int(f),) for f in fps], "fp long")
-    roots = component_roots(simhash.close_links(distinct).distinct(), Scratch(spark, "test"))
+    scratch = Scratch(spark, "test")
+    roots = component_roots(simhash.close_links(distinct, scratch).distinct(), scratch)
     found = {r.node: r.root for r in roots.collect()}
     want = groups_by_hand([int(f) for f in fps])
     got = [found.get(int(f), int(f)) for f in fps]
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_large_variants_are_worked_on_in_blocks(spark, monkeypatch):
+    """One half with ten times the rows of a block, and its neighbours by one bit."""
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    random = np.random.default_rng(9)
+    low = random.choice(1 << 32, 500, replace=False).astype(np.int64)
+    high = np.where(np.arange(500) < 420, 77, 77 ^ (1 << 5)).astype(np.int64)
+    fps = (high << 32) | low
+    distinct = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    rows = simhash.indexed(distinct, Scratch(spark, "test")).toPandas()
+    runs = rows.groupby(["key", "pair"]).size()
+    # Two blocks meet at a time; dealt by hash, a block may be somewhat over its mean.
+    assert runs.max() <= 3 * 50 and rows["pair"].max() >= 40
+    # Every two fingerprints that share a variant meet under it.
+    by_run = rows.groupby(["key", "pair"])["fp"].agg(set)
+    whole = ((0 * 33 + 32) << 32) + 77
+    mine = [m for (key, _), m in by_run.items() if key == whole]
+    some = fps[:420:37].tolist()
+    assert all(any({a, b} <= m for m in mine) for a in some for b in some)
+    masked = ((0 * 33 + 5) << 32) + (77 | 1 << 5)
+    mine = [m for (key, _), m in by_run.items() if key == masked]
+    assert all(any({a, b} <= m for m in mine) for a in some for b in fps[420::17].tolist())
+
+
 def test_close_groups_equal_brute_force():
     for seed in range(20):
         fps = _near_fingerprints(60, seed)

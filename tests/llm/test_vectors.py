@@ -95,6 +95,37 @@ def test_recall_is_high_with_more_hashes(spark, monkeypatch):
     assert sum(r[1] for r in got) >= 0.9 * sum(want.values()) > 0
 
 
+@pytest.mark.parametrize("hashes", [1, 3, 4, 5])
+def test_recall_per_number_of_hashes(hashes):
+    """Pairs at the threshold itself that share a bucket in some table."""
+    random = np.random.default_rng(hashes)
+    x = random.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = random.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.95 * x + np.sqrt(1 - 0.95**2) * y
+    hasher = near_vectors.CrossPolytope(64, hashes)
+    a, b = hasher.buckets(x), hasher.buckets(z)
+    meets = (b == a[:, :, :1]).any(axis=2) | (a == b[:, :, :1]).any(axis=2)
+    assert meets.any(axis=1).mean() >= 0.95
+
+
+def test_a_bucket_of_ten_blocks(spark, monkeypatch):
+    """One bucket ten times the block: runs hold two blocks, and all links are found."""
+    monkeypatch.setattr(near_vectors, "BLOCK", 40)
+    random = np.random.default_rng(4)
+    centre = random.normal(size=16)
+    rows = [(i, [float(v) for v in centre + 0.02 * random.normal(size=16)], 0) for i in range(400)]
+    got = collected(near_vectors.near_vectors(table(spark, rows)))
+    assert got == sorted(by_hand(rows, "float"), key=str)
+    asked = spark.createDataFrame([(7, i) for i in range(400)] + [(8, 1)], "key long, id long")
+    large = spark.createDataFrame([(7, 10)], "key long, blocks long")
+    runs = near_vectors._block_pairs(asked, large).groupBy("key", "pair").count().collect()
+    assert max(r["count"] for r in runs) <= 3 * 40 and len(runs) == 55 + 1
+    assert sum(r["count"] for r in runs) == 400 * 10 + 1
+
+
 def test_large_group_of_equal_vectors(spark):
     rows = [(i, [1.0, 0.5, 0.25], 0) for i in range(3000)] + [(5000, [1.0, 0.5, 0.26], 0)]
     got = collected(near_vectors.near_vectors(table(spark, rows)))
