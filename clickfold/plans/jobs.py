@@ -23,10 +23,11 @@ from clickfold.sources.kafka import kafka_options, read_event_stream, resume_off
 from clickfold.sources.tables import require_table, table_exists
 from clickfold.streaming.live import (
     EVERY,
+    RENEW_AFTER,
     clean_landing,
     refuse_drops,
     start_landing,
-    start_publishing,
+    start_renewed,
     start_throughput,
 )
 from clickfold.streaming.store import EventStore
@@ -146,6 +147,10 @@ def _parser() -> argparse.ArgumentParser:
         "--horizon-days", type=int, help="bound the state: older events are merged from storage"
     )
 
+    stream.add_argument(
+        "--renew-after", type=int, default=RENEW_AFTER, help="batches of a publishing checkpoint"
+    )
+
     for name in ("daily", "funnel"):
         job = jobs.add_parser(name)
         job.add_argument("--date", help="YYYY-MM-DD, yesterday (UTC) by default")
@@ -192,19 +197,29 @@ def run(spark: SparkSession, args: argparse.Namespace, now: dt.datetime) -> int
         messages = read_event_stream(spark, options)
         horizon = None if args.horizon_days is None else dt.timedelta(days=args.horizon_days)
         start_landing(messages, store, land_at, args.every, args.first_landing, horizon)
-        publishing = start_publishing(
-            store,
-            publish_at,
-            args.every,
-            horizon,
-            recheck_stored=args.recheck_stored,
-            source_options={"maxBytesPerTrigger": args.max_bytes},
-            state_partitions=args.state_partitions,
-            first_batch=args.first_batch,
-        )
+
+        def publish(first_batch: int | None = None, recheck_stored: bool = False):
+            return start_renewed(
+                store,
+                publish_at,
+                args.every,
+                horizon,
+                args.renew_after,
+                first_batch=first_batch,
+                recheck_stored=recheck_stored,
+                source_options={"maxBytesPerTrigger": args.max_bytes},
+                state_partitions=args.state_partitions,
+            )
+
+        publishing = publish(args.first_batch, args.recheck_stored)
         while not spark.streams.awaitAnyTermination(CLEAN_EVERY_SECONDS):
             refuse_drops(publishing)
             clean_landing(store, publishing)
+            progress = publishing.lastProgress
+            if progress is not None and progress.batchId + 1 >= args.renew_after:
+                publishing.stop()
+                spark.streams.resetTerminated()
+                publishing = publish()
         return None
 
     if args.job == "throughput":

@@ -18,7 +18,15 @@ from clickfold.operators.ingest import accepted, dedup, parse_events, tag_reject
 from clickfold.operators.serving import throughput
 from clickfold.schemas import MAIN_TOPIC, RAW_EVENTS
 from clickfold.session import STATE_STORE_CONF, session_conf
-from clickfold.sources.tables import drop_path, make_folder, marker, put_marker, table_exists
+from clickfold.sources.tables import (
+    drop_path,
+    make_folder,
+    marked,
+    marker,
+    partition_values,
+    put_marker,
+    table_exists,
+)
 from clickfold.streaming.store import AHEAD, REPLAYS, EventStore
 from clickfold.streaming.windows import WindowTable
 
@@ -32,6 +40,8 @@ SEEDED = "seeded"
 SEED = -1
 #: Batches between two folds of the window counts.
 FOLD_EVERY = 100
+#: Batches of one publishing checkpoint, about six days at one every ten seconds.
+RENEW_AFTER = 50_000
 
 
 def _start(stream: DataFrame, on_batch, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -180,6 +190,59 @@ def start_publishing(
     return start(every, source_options or {}, None)
 
 
+def published_batches(spark: SparkSession, checkpoint: str) -> int:
+    """Batches a checkpoint has begun."""
+    return max((number for number, _ in marked(spark, f"{checkpoint}/offsets")), default=-1) + 1
+
+
+def start_renewed(
+    store: EventStore,
+    root: str,
+    every: str | None = EVERY,
+    horizon: dt.timedelta | None = None,
+    renew_after: int = RENEW_AFTER,
+    first_batch: int | None = None,
+    recheck_stored: bool = False,
+    **options,
+) -> StreamingQuery:
+    """:func:`start_publishing` with a checkpoint that does not grow for ever.
+
+    The file source keeps a log of every file it has read. Checkpoints therefore lie in folders
+    ``epoch=0``, ``epoch=1``, … under ``root``; when the newest has begun ``renew_after`` batches,
+    the next start opens another one, whose batches are numbered on and whose state is filled
+    with the stored ids, one scan of them per epoch. An unfinished batch of the old epoch is
+    repeated under its number, and older epochs are deleted once the new one is filled.
+    """
+    spark = store.spark
+    epochs = sorted(int(value) for value, _ in partition_values(spark, root))
+    if not epochs and table_exists(spark, f"{root}/offsets"):
+        # A checkpoint from before there were epochs.
+        newest, folder = -1, root
+    else:
+        newest = epochs[-1] if epochs else 0
+        folder = f"{root}/epoch={newest}"
+    if published_batches(spark, folder) >= renew_after:
+        newest += 1
+        folder = f"{root}/epoch={newest}"
+    renewed = newest > 0 or (newest == 0 and table_exists(spark, f"{root}/offsets"))
+    if renewed and marker(spark, f"{folder}/{FIRST_BATCH}") is None:
+        last = store.last_committed()
+        first_batch = 0 if last is None else last + 1
+    query = start_publishing(
+        store,
+        folder,
+        every,
+        horizon,
+        recheck_stored or renewed,
+        first_batch=first_batch,
+        **options,
+    )
+    for value, path in partition_values(spark, root):
+        if int(value) < newest:
+            drop_path(spark, path)
+    return query
+
+
 def _landed(store: EventStore, options: dict[str, str]) -> DataFrame:
     """The landed files as a stream, which reports the newest batch it saw."""
     own = F.when(F.col("batch_id") < REPLAYS, F.col("batch_id"))

@@ -17,6 +17,7 @@ from clickfold.streaming.live import (
     run_available,
     start_landing,
     start_publishing,
+    start_renewed,
     start_throughput,
 )
 from clickfold.streaming.store import REPLAYS, EventStore
@@ -608,6 +609,28 @@ def test_seeds_keep_to_the_horizon(log, store, root):
     assert ids(store.raw_events()) == ["a", "b", "old"]
 
 
+def test_checkpoints_stay_small(log, store, root):
+    sizes, epochs = [], []
+    for turn in range(6):
+        for part in range(4):
+            # A third of each delivery was published before.
+            log.send([v for _, v in shop(9, 6 * (4 * turn + part))])
+        start_landing(log.stream(1), store, f"{root}/land", None).awaitTermination()
+        start_renewed(
+            store, f"{root}/pub", None, renew_after=8, source_options={"maxFilesPerTrigger": "1"}
+        ).awaitTermination()
+        newest = store.last_landed()
+        store.clean_landing(newest)
+        (epoch,) = Path(f"{root}/pub").glob("epoch=*")
+        epochs.append(epoch.name)
+        entries = [p.read_text() for p in (epoch / "sources/0").iterdir() if p.name[0] != "."]
+        sizes.append(max(entry.count("batch_id=") for entry in entries))
+    assert store.raw_events().count() == 6 * 24 + 3 and len(set(epochs)) >= 3
+    assert ordered(store.product_metrics()) == ordered(expected(log))
+    # The source log of an epoch names its own files only.
+    assert max(sizes) <= 16
+
+
 # --- windows ----------------------------------------------------------------------------------
 
 
