@@ -139,7 +139,10 @@ def run_ratios(wanted: DataFrame, model: DataFrame) -> DataFrame:
 
 def url_scores(urls: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
     """(url, difference): mean log-ratio per character of distinct URLs."""
-    cut = urls.select("url", F.explode(runs(F.col("url"))).alias("run"))
+    # A fixed number of tasks: URLs are small, but become many rows each.
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = urls.repartition(parts, "url")
+    cut = dealt.select("url", F.explode(runs(F.col("url"))).alias("run"))
     cut = cut.groupBy("url", "run").agg(F.count(F.lit(1)).alias("n"))
     # Stored, so that Spark can split the join where very many URLs share a run.
     cut = scratch.put(cut, "cut")
