@@ -139,8 +139,9 @@ def run_ratios(wanted: DataFrame, model: DataFrame) -> DataFrame:
 
 def url_scores(urls: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
     """(url, difference): mean log-ratio per character of distinct URLs."""
-    # A fixed number of tasks: URLs are small, but become many rows each.
-    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # URLs are small but become many rows each, so that they go to a fixed number of tasks. It
+    # differs from the usual one, with which Spark would take the step as done already.
+    parts = 2 * int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = urls.repartition(parts, "url")
     cut = dealt.select("url", F.explode(runs(F.col("url"))).alias("run"))
     cut = cut.groupBy("url", "run").agg(F.count(F.lit(1)).alias("n"))
