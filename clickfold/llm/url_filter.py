@@ -142,14 +142,19 @@ def url_scores(urls: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame
     # URLs are small but become many rows each, so that they go to a fixed number of tasks. It
     # differs from the usual one, with which Spark would take the step as done already.
     parts = 2 * int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = urls.repartition(parts, "url")
-    cut = dealt.select("url", F.explode(runs(F.col("url"))).alias("run"))
-    cut = cut.groupBy("url", "run").agg(F.count(F.lit(1)).alias("n"))
+    # A number stands for the URL, which may be long, in its many rows; stored, as it holds for one
+    # reading only.
+    numbered = urls.select("url", F.monotonically_increasing_id().alias("url_id"))
+    numbered = scratch.put(numbered, "asked")
+    dealt = numbered.repartition(parts, "url_id")
+    cut = dealt.select("url_id", F.explode(runs(F.col("url"))).alias("run"))
+    cut = cut.groupBy("url_id", "run").agg(F.count(F.lit(1)).alias("n"))
     # Stored, so that Spark can split the join where very many URLs share a run.
     cut = scratch.put(cut, "cut")
     ratios = scratch.put(run_ratios(cut.select("run").distinct(), model), "ratios")
     weighted = F.sum(F.col("n") * F.col("ratio")) / F.sum("n")
-    return cut.join(ratios, "run").groupBy("url").agg(weighted.alias("difference"))
+    scored = cut.join(ratios, "run").groupBy("url_id").agg(weighted.alias("difference"))
+    return numbered.join(scored, "url_id").select("url", "difference")
 
 
 # --- verdicts ----------------------------------------------------------------------------------
