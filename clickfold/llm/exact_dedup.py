@@ -15,11 +15,36 @@ from clickfold.llm.scratch import Scratch
 
 #: White space that does not count: blank and the controls from tab to carriage return.
 BLANKS = r"[ \t-\r]+"
-#: A chunk ends after at least 256 characters at a mark between certain letters, about one
-#: mark in four, or after 4096 where there is none. As the place depends on what stands
-#: there, texts that differ early are soon cut alike again. The alternatives take any
-#: character, so that the chunks of a text are always the whole text.
-CHUNK = r"(?s).{256,4095}?(?<=[a-mA-M0-4])[.,;:!?|](?=[A-Ma-m5-9])|.{1,4096}"
+
+
+def _chunk_pattern() -> str:
+    """A chunk, as a pattern over a text's UTF-8 bytes, each written as one character.
+
+    It ends after at least 256 bytes between two characters of which the first ends in one
+    eighth of all possible last bytes and the second in another, or after about 4096 bytes where
+    there is no such place. Last bytes vary in every script, so that the place depends on what
+    stands there, and texts that differ early are soon cut alike again. The further
+    alternatives take any byte, so that the chunks of a text are always the whole text; whole
+    characters stay together wherever the text is valid UTF-8.
+    """
+
+    def lasts(low: int, high: int, *sixteenths: int) -> str:
+        return "".join(f"\\x{b:02x}" for b in range(low, high) if b % 16 in sixteenths)
+
+    before = lasts(0x00, 0xC0, 5, 14)
+    ascii_, later = lasts(0x00, 0x80, 0, 13), lasts(0x80, 0xC0, 0, 13)
+    after = (
+        f"[{ascii_}]|[\\xc0-\\xdf][{later}]|[\\xe0-\\xef].[{later}]|[\\xf0-\\xff]..[{later}]"
+    )
+    return (
+        rf"(?s).{{256,4095}}?(?<=[{before}])(?={after})"
+        r"|.{1,4093}(?![\x80-\xbf])|.{1,4096}"
+    )
+
+
+CHUNK = _chunk_pattern()
+#: The charset that writes every byte as the character of its number.
+BYTES = "ISO-8859-1"
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,16 +59,17 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(text).alias("text_hash"),
         F.regexp_replace(text, BLANKS, "").alias("plain"),
     )
+    as_bytes = F.decode(F.col("plain").cast("binary"), BYTES)
     cut = plain.select(
         "row",
         "id",
         "n_chars",
         "text_hash",
         F.sha2("plain", 256).alias("sha256"),
-        F.posexplode_outer(F.regexp_extract_all("plain", F.lit(CHUNK), F.lit(0))).alias(
+        F.posexplode_outer(F.regexp_extract_all(as_bytes, F.lit(CHUNK), F.lit(0))).alias(
             "pos", "chunk"
         ),
-    )
+    ).withColumn("chunk", F.encode("chunk", BYTES).cast("string"))
     return cut.withColumn("h", F.when(F.col("chunk").isNotNull(), F.xxhash64("chunk")))
 
 

@@ -70,6 +70,33 @@ def test_chunk_cuts_follow_the_content(spark):
     assert len(one & two) > 0.9 * len(one)
 
 
+@pytest.mark.parametrize(
+    "first, last",
+    [(0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939)]
+    + [(0xE01, 0xE3A), (0x3041, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x1F300, 0x1F5FF)],
+)
+def test_chunk_cuts_follow_the_content_in_every_script(spark, first, last):
+    places = np.random.default_rng(first).integers(first, last + 1, 60_000)
+    body = "".join(map(chr, places))
+    docs = documents(spark, [(1, body), (2, "%" + body), (3, body[:20_000] + "%" + body[20_000:])])
+    chunks = exact_dedup.chunk_rows(docs, "doc_id", "text").collect()
+    own = {i: [c.chunk for c in chunks if c.id == i] for i in (1, 2, 3)}
+    assert all(max(len(c.encode()) for c in cut) <= 4096 for cut in own.values())
+    assert sum(map(len, own[1])) == len(body)
+    for i in (2, 3):
+        assert len(set(own[1]) & set(own[i])) > 0.95 * len(own[1])
+
+
+def test_text_that_is_no_utf8_comes_through_the_chunks(spark):
+    docs = spark.sql(
+        "SELECT id AS doc_id, CAST(concat(CAST('start' AS BINARY), b) AS STRING) AS text"
+        " FROM VALUES (1L, unhex(repeat('BF', 9000))), (2L, unhex(repeat('BF', 9000))),"
+        " (3L, unhex(repeat('BFC3', 4500))) AS t(id, b)"
+    )
+    got = exact_dedup.exact_groups(docs)
+    assert rows(got, "doc_id", "keep_id", "group_size") == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
 def test_drop_exact_keeps_one_row_and_all_columns(spark):
     docs = documents(spark)
     kept = exact_dedup.drop_exact(docs)
