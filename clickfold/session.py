@@ -27,7 +27,21 @@ SESSION_CONF = {
 
 # A streaming query switches adaptive execution off for its session. Inside a batch the
 # data is an ordinary table, and sizing its files and splitting hot partitions needs it.
-BATCH_CONF = {key: value for key, value in SESSION_CONF.items() if ".adaptive." in key}
+FILES_CONF = {key: value for key, value in SESSION_CONF.items() if ".adaptive." in key}
+
+# A batch sorts its rows by id, and a sorted row takes about sixteen times its shuffled size:
+# its tasks get less than files would want, which compaction merges later.
+BATCH_CONF = {
+    **FILES_CONF,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "16m",
+}
+
+# Partitions can be merged but, under a sort by key, not split at run time. What they hold at
+# most is therefore set by their number before merging: so much of Parquet, so many messages.
+PARTITIONS_BEFORE_MERGE = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+BYTES_PER_PARTITION = 4 * 1024**2
+MESSAGES_PER_PARTITION = 200_000
 
 # Needed by the stateful de-duplication only: key state lives on executor disks
 # and reaches the checkpoint as a change log rather than as full snapshots.
@@ -64,6 +78,15 @@ def session_conf(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
+def batch_conf(spark: SparkSession, stored_bytes: int = 0, messages: int = 0) -> dict[str, str]:
+    """Settings for a batch over that much; never fewer partitions than set around it."""
+    least = spark.conf.get(PARTITIONS_BEFORE_MERGE, None) or spark.conf.get(
+        "spark.sql.shuffle.partitions"
+    )
+    wanted = max(stored_bytes // BYTES_PER_PARTITION, messages // MESSAGES_PER_PARTITION)
+    return {**BATCH_CONF, PARTITIONS_BEFORE_MERGE: str(max(int(least), wanted))}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 

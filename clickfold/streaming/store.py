@@ -59,7 +59,7 @@ from clickfold.schemas import (
     TOPIC_COUNTS,
     TOPIC_STATS,
 )
-from clickfold.session import BATCH_CONF, session_conf
+from clickfold.session import BATCH_CONF, FILES_CONF, batch_conf, session_conf
 from clickfold.sources.tables import (
     EVENT_DATE,
     drop_partitions,
@@ -71,6 +71,7 @@ from clickfold.sources.tables import (
     read_table,
     read_text,
     rename,
+    table_bytes,
     table_exists,
     write_partitions,
     write_text,
@@ -351,19 +352,10 @@ class EventStore:
                 counts = self.spark.createDataFrame([r[:-1] for r in seen], TOPIC_COUNTS)
                 counts = counts.withColumn("batch_id", F.lit(number)).coalesce(1)
                 write_partitions(counts, self.topic_log_path, "batch_id")
-            good = accepted(tagged)
-            if horizon is not None:
-                is_late = F.col("created_at") < ntz(now - horizon)
-                old = dedup(good.filter(is_late)).withColumn("batch_id", F.lit(number))
-                write_partitions(old, self.late_path, "batch_id")
-                good = good.filter(~is_late)
-            if sum(r.messages - r.bad for r in seen):
-                unique = dedup(good).withColumn("batch_id", F.lit(number))
-                write_partitions(unique, self.landing_path, "batch_id")
-            if self._only_late(number):
-                # An empty file starts a published batch, which takes the late events.
-                empty = self.spark.createDataFrame([], RAW_EVENTS)
-                empty.write.parquet(f"{self.landing_path}/batch_id={number}")
+            total = sum(r.messages for r in seen)
+            session = messages.sparkSession
+            with session_conf(session, batch_conf(session, messages=total)):
+                self._write_landed(tagged, number, horizon, now, total - sum(r.bad for r in seen))
             if sum(r.bad for r in seen):
                 bad = rejected(tagged).withColumns(
                     {"rejected_on": F.lit(now.date()), "batch_id": F.lit(number)}
@@ -372,6 +364,28 @@ class EventStore:
                     bad, self.rejected_path, "rejected_on", "batch_id", rebalance=True
                 )
 
+    def _write_landed(
+        self,
+        tagged: DataFrame,
+        number: int,
+        horizon: dt.timedelta | None,
+        now: dt.datetime,
+        n_good: int,
+    ) -> None:
+        good = accepted(tagged)
+        if horizon is not None:
+            is_late = F.col("created_at") < ntz(now - horizon)
+            old = dedup(good.filter(is_late)).withColumn("batch_id", F.lit(number))
+            write_partitions(old, self.late_path, "batch_id")
+            good = good.filter(~is_late)
+        if n_good:
+            unique = dedup(good).withColumn("batch_id", F.lit(number))
+            write_partitions(unique, self.landing_path, "batch_id")
+        if self._only_late(number):
+            # An empty file starts a published batch, which takes the late events.
+            empty = self.spark.createDataFrame([], RAW_EVENTS)
+            empty.write.parquet(f"{self.landing_path}/batch_id={number}")
+
     def _only_late(self, number: int) -> bool:
         """Whether a landed batch has late events and no others."""
         late, landed = (
@@ -420,17 +434,19 @@ class EventStore:
         for path in (self.raw_path, self.log_path):
             for _, day_path in partition_values(self.spark, path):
                 drop_path(self.spark, f"{day_path}/batch_id={number}")
-        if late is not None:
-            # A late copy may come beside the first one.
-            fresh = self.new_late(late, number).select(*RAW_EVENTS.names)
-            events = dedup(events.select(*RAW_EVENTS.names).unionByName(fresh))
-        dated = events.select(
-            *RAW_EVENTS.names,
-            F.to_date("created_at").alias("event_date"),
-            F.lit(number).cast("long").alias("batch_id"),
-        )
+        session, taken = events.sparkSession, f"{self.taken_path}/number={number}"
+        late_bytes = table_bytes(self.spark, taken) if table_exists(self.spark, taken) else 0
         records, months = 0, []
-        with session_conf(events.sparkSession, BATCH_CONF):
+        with session_conf(session, batch_conf(session, late_bytes)):
+            if late is not None:
+                # A late copy may come beside the first one.
+                fresh = self.new_late(late, number).select(*RAW_EVENTS.names)
+                events = dedup(events.select(*RAW_EVENTS.names).unionByName(fresh))
+            dated = events.select(
+                *RAW_EVENTS.names,
+                F.to_date("created_at").alias("event_date"),
+                F.lit(number).cast("long").alias("batch_id"),
+            )
             write_partitions(dated, self.raw_path, "event_date", "batch_id", rebalance=True)
             written = [
                 (day, f"{path}/batch_id={number}")
@@ -707,7 +723,7 @@ class EventStore:
         """
         self.finish_compaction()
         merged, last = 0, self.last_committed()
-        with session_conf(self.spark, BATCH_CONF):
+        with session_conf(self.spark, FILES_CONF):
             for day, path in partition_values(self.spark, self.raw_path):
                 if last is None or dt.date.fromisoformat(day) >= before:
                     continue

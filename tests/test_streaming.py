@@ -8,8 +8,10 @@ from clickfold.operators.products import product_metrics
 from clickfold.operators.funnels import funnel_overall
 from clickfold.operators.serving import category_breakdown, kpi_totals, top_products
 from clickfold.operators.ingest import dedup, parse_events, split_valid
+from clickfold import session
 from clickfold.schemas import CLICK_TOPIC, MAIN_TOPIC, PURCHASE_TOPIC
 from clickfold.sources.kafka import read_event_stream
+from clickfold.sources.tables import write_partitions
 from clickfold.streaming.live import (
     clean_landing,
     live_throughput,
@@ -331,6 +333,35 @@ def ids(df):
 ONE, TWO = "2026-03-01T10:00:00Z", "2026-03-02T10:00:00Z"
 
 
+def test_tasks_of_a_batch_do_not_grow_with_it(log, store, root, monkeypatch):
+    """Sorts by id cannot be split at run time, so there are more of them in a larger batch."""
+    monkeypatch.setattr(session, "MESSAGES_PER_PARTITION", 10)
+    monkeypatch.setattr(session, "BYTES_PER_PARTITION", 100)
+    before_merge = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    seen = {}
+
+    def write(df, path, *partitions, **options):
+        conf = df.sparkSession.conf
+        count = conf.get(before_merge, None)
+        seen.setdefault(path, []).append((count and int(count), conf.get(advisory)))
+        return write_partitions(df, path, *partitions, **options)
+
+    monkeypatch.setattr("clickfold.streaming.store.write_partitions", write)
+    log.send([value for _, value in shop(400)])
+    horizon = dt.timedelta(hours=12)
+    now = T0 + dt.timedelta(hours=48)
+    store.land_batch(log.all(), 0, horizon, now)
+    landed = store.spark.read.parquet(store.landing_path).drop("batch_id")
+    late = store.take_late(0)
+    store.publish_batch(landed, 0, late)
+    assert store.raw_events().select("event_id").distinct().count() == 400
+    assert seen[store.landing_path] == seen[store.late_path] == [(40, "16m")]
+    ((count, size),) = seen[store.raw_path]
+    assert count > 40 and size == "16m"
+    assert store.spark.conf.get(before_merge, None) is None
+
+
 def test_interrupted_compaction_is_finished(spark, store, monkeypatch):
     _batches(spark, store, [("a", ONE)], [("b", ONE)], [("c", ONE)])
     drop = EventStore._drop_covered
