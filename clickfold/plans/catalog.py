@@ -30,7 +30,7 @@ from clickfold.operators.measures import measure
 from clickfold.operators.staging import on_day, stage
 from clickfold.plans.marts import FUNNEL_MART, PRODUCT_MART, build_marts, read_mart
 from clickfold.schemas import KAFKA_SCHEMA, MAIN_TOPIC, METRIC_KEYS, RAW_EVENTS
-from clickfold.session import scratch_dir
+from clickfold.session import batch_conf, scratch_dir, session_conf
 from clickfold.sources.kafka import read_event_stream
 from clickfold.sources.star_events import (
     bare_events,
@@ -411,7 +411,10 @@ def _streamed(
         f"{root}/publish",
         None,
         source_options=_quarters(spark, store.landing_path),
-        state_partitions=state_partitions_for(table_bytes(spark, store.landing_path)),
+        state_partitions=max(
+            state_partitions_for(table_bytes(spark, store.landing_path)),
+            spark.sparkContext.defaultParallelism,
+        ),
     ).awaitTermination()
     return store
 
@@ -428,7 +431,10 @@ def _publish_part(store: EventStore, messages: DataFrame, number: int) -> None:
     part = F.pmod(F.col("offset") + (F.col("topic") != MAIN_TOPIC).cast("int"), F.lit(STORE_BATCHES))
     store.land_batch(messages.filter(part == number), number, STORE_HORIZON, STORE_NOW)
     events = dedup(_landed(store, number), store.raw_events(number - 1))
-    store.publish_batch(events, number, store.take_late(number))
+    # What landed so far covers the batch and the stored ids it is compared with.
+    landed = table_bytes(store.spark, store.landing_path)
+    with session_conf(store.spark, batch_conf(store.spark, landed)):
+        store.publish_batch(events, number, store.take_late(number))
 
 
 def _landed(store: EventStore, number: int) -> DataFrame:
